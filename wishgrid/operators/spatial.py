@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wishgrid.functions.geo import EARTH_RADIUS_M, haversine_m, to_xyz
 from wishgrid.functions.text import normalize_key
+from wishgrid.operators.skew import join_split
 
 CELL_TARGET = 4096  # coordinates of one cell handled by one task; more are split by a salt
 SLACK_M = 0.5  # widens the searched box, never the accepted radius
@@ -54,17 +55,7 @@ def _coordinates(df: DataFrame, lat: str, lon: str) -> DataFrame:
 
 
 def _join_cells(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Equi-join on cells; ``right`` cells above ``CELL_TARGET`` rows are split by a salt."""
-    sizes = right.groupBy(*keys).agg(
-        F.ceil(F.count(F.lit(1)) / CELL_TARGET).cast("int").alias("salts")
-    )
-    spread_left = left.join(sizes, keys).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
-    )
-    spread_right = right.join(sizes, keys).withColumn(
-        "salt", F.pmod(F.xxhash64("q_lat", "q_lon"), F.col("salts")).cast("int")
-    )
-    return spread_left.drop("salts").join(spread_right.drop("salts"), [*keys, "salt"])
+    return join_split(left, right, keys, ["q_lat", "q_lon"], CELL_TARGET)
 
 
 def coordinate_pairs(points: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
