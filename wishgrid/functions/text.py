@@ -278,7 +278,9 @@ def _lcs_rows(a: Column, b: Column) -> Column:
         def row_step(row: Column, ca: Column) -> Column:
             size = F.size(row) - 1
             zipped = F.arrays_zip(
-                b_chars, F.slice(row, F.lit(1), size), F.slice(row, F.lit(2), size)
+                F.slice(b_chars, F.lit(1), size),
+                F.slice(row, F.lit(1), size),
+                F.slice(row, F.lit(2), size),
             )
             return F.aggregate(
                 zipped,
