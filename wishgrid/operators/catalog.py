@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wishgrid.functions.text import normalize_key
 from wishgrid.operators.similar import similar_pairs
+from wishgrid.session import through_table
 
 # Fixed values.
 CAPITAL = "Москва"
@@ -320,7 +321,8 @@ def merge_stations(existing: DataFrame, fetched: DataFrame) -> DataFrame:
 
     Adds ``added`` (the row is new). ``fetched(key, name, lat, lon, line, aliases)``.
     """
-    links = link_stations(existing, fetched)
+    # Both the updated and the appended rows need the links; they are computed once.
+    links = through_table(link_stations(existing, fetched), "station-links")
     split = "filter(transform(split(coalesce(line, ''), ' / '), x -> trim(x)), x -> x <> '')"
     news = (
         links.join(fetched, "key")
@@ -350,7 +352,7 @@ def merge_stations(existing: DataFrame, fetched: DataFrame) -> DataFrame:
 
 def refresh_stations(elements: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Map elements -> merged stations and their six summary counts."""
-    fetched = stations_from_osm(elements)
+    fetched = through_table(stations_from_osm(elements), "stations")
     merged = merge_stations(existing, fetched)
     counts = merged.agg(
         F.count(F.lit(1)).alias("total"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,14 +62,20 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     rarity = (
         _grams(b, "b").select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
     )
-    keys_a = _prefix(a, "a", rarity, threshold)
-    keys_b = _prefix(b, "b", rarity, threshold)
+    # Lengths differ by a bounded factor, so texts meet in neighbouring geometric length bands only.
     t = threshold / 100.0
-    band = (
-        f"least(length(a), length(b)) * 2 >= {t:.12f} * (length(a) + length(b)) - 1e-9"
+    ratio = max((2 - t) / t, 1.001)
+    band_of = f"cast(floor(ln(length({{0}})) / {math.log(ratio):.12f} + 1e-9) as int)"
+    keys_a = _prefix(a, "a", rarity, threshold).withColumn(
+        "band", F.explode(F.expr(f"transform(array(-1, 0, 1), d -> d + {band_of.format('a')})"))
     )
+    keys_b = _prefix(b, "b", rarity, threshold).withColumn("band", F.expr(band_of.format("b")))
+    close = f"least(length(a), length(b)) * 2 >= {t:.12f} * (length(a) + length(b)) - 1e-9"
     candidates = (
-        join_split(keys_a, keys_b, ["gram"], ["b"], 20000).where(band).select("a", "b").distinct()
+        join_split(keys_a, keys_b, ["gram", "band"], ["b"], 20000)
+        .where(close)
+        .select("a", "b")
+        .distinct()
     )
     scored = candidates.withColumn("masks", char_masks(F.col("a"))).select(
         "a", "b", similarity(F.col("a"), F.col("b"), F.col("masks")).alias("score")

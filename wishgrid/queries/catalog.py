@@ -8,7 +8,7 @@ from wishgrid.operators import catalog as ops
 from wishgrid.packs.params import DISTRUSTED_METRO_IDS
 from wishgrid.queries.base import SQL_PLACES, SQL_STATIONS, places, sql_key, stations, table, with_sql
 from wishgrid.queries.registry import query
-from wishgrid.session import scratch_path
+from wishgrid.session import scratch_path, through_table
 from wishgrid.sources import catalog as sources
 from wishgrid.sources.ring import edges_of_vertices
 
@@ -388,7 +388,7 @@ st_links AS (
     + "SELECT key, ord, priority FROM st_links",
 )
 def j13_link_stations(spark, sf):
-    fetched = ops.stations_from_osm(elements(spark, sf))
+    fetched = through_table(ops.stations_from_osm(elements(spark, sf)), "stations")
     return ops.link_stations(station_entries(spark, sf), fetched)
 
 
@@ -408,7 +408,8 @@ merged AS (
     + "SELECT name, lat, line, added FROM merged",
 )
 def u8_merge_stations(spark, sf):
-    merged = ops.merge_stations(station_entries(spark, sf), ops.stations_from_osm(elements(spark, sf)))
+    fetched = through_table(ops.stations_from_osm(elements(spark, sf)), "stations")
+    merged = ops.merge_stations(station_entries(spark, sf), fetched)
     return merged.selectExpr("trim(name) as name", "round(lat, 4) as lat", "line", "added")
 
 
