@@ -1,12 +1,10 @@
-"""Column helpers for text: normalisation, match spans, arbitration, numbers, similarity.
+"""Column helpers for text: normalisation and similarity.
 
 Everything stays in built-in expressions; no Python worker is involved.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,185 +50,6 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
-
-
-# --- E1: every match with its offsets -------------------------------------------------------
-
-
-@dataclass(frozen=True)
-class Rule:
-    """One pattern of a rule pack: a name, a Java regular expression, its number of groups."""
-
-    name: str
-    pattern: str
-    groups: int = 0
-
-
-def match_spans(text: Column, pattern: str, groups: int = 0, name: str = "") -> Column:
-    """``array<struct<rule, start, end, hit, g array<string>>>`` of every match, left to right.
-
-    The pieces between matches come from ``split`` and the matches from ``regexp_extract_all``;
-    the running sum of both lengths gives the offsets. Unmatched groups are NULL.
-    """
-    pattern = pattern if pattern.startswith("(?") and pattern[2:3] in "Ui" else U + pattern
-    parts = [F.split(text, pattern, -1)]
-    parts += [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in range(groups + 1)]
-    zipped = F.arrays_zip(*parts)
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["0"])
-        end = start + F.length(x["1"])
-        captured = [blank_to_null(x[str(g + 2)]) for g in range(groups)]
-        item = F.struct(
-            F.lit(name).alias("rule"),
-            start.alias("start"),
-            end.alias("end"),
-            x["1"].alias("hit"),
-            (F.array(*captured) if captured else F.array(F.lit(None).cast("string"))).alias("g"),
-        )
-        return F.when(
-            x["1"].isNotNull(),
-            F.struct(end.alias("pos"), F.array_append(acc["out"], item).alias("out")),
-        ).otherwise(acc)
-
-    init = F.struct(F.lit(0).alias("pos"), empty_matches().alias("out"))
-    found = F.aggregate(zipped, init, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty_matches())
-
-
-MATCHES = "array<struct<rule:string,start:int,end:int,hit:string,g:array<string>>>"
-SPANS = "array<struct<start:int,end:int>>"
-
-
-def empty_matches() -> Column:
-    return F.array().cast(MATCHES)
-
-
-def empty_spans() -> Column:
-    return F.array().cast(SPANS)
-
-
-def scan(text: Column, rules: list[Rule]) -> Column:
-    """All matches of a pack, in rule order and then left to right."""
-    return F.flatten(F.array(*[match_spans(text, r.pattern, r.groups, r.name) for r in rules]))
-
-
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
-
-
-def overlaps_any(span: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda s: overlaps(span, s))
-
-
-def arbitrate(matches: Column, blocked: Column | None = None) -> Column:
-    """Keep a match only if it overlaps no span kept before it (and no ``blocked`` span).
-
-    ``matches`` is any array of structs with ``start`` and ``end``, already in priority order.
-    """
-
-    def fold(arr: Column) -> Column:
-        init = F.struct(
-            (empty_spans() if blocked is None else blocked).alias("taken"),
-            F.filter(arr, lambda m: F.lit(False)).alias("kept"),
-        )
-
-        def step(acc: Column, m: Column) -> Column:
-            span = F.struct(m["start"].alias("start"), m["end"].alias("end"))
-            return F.when(overlaps_any(m, acc["taken"]), acc).otherwise(
-                F.struct(
-                    F.array_append(acc["taken"], span).alias("taken"),
-                    F.array_append(acc["kept"], m).alias("kept"),
-                )
-            )
-
-        return F.aggregate(arr, init, step, lambda acc: acc["kept"])
-
-    return let(matches, fold)
-
-
-def spans_of(matches: Column) -> Column:
-    return F.transform(
-        matches, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))
-    )
-
-
-def first_of(arr: Column) -> Column:
-    return F.get(arr, F.lit(0))
-
-
-def cut(text: Column, start: Column, end: Column) -> Column:
-    return F.substring(text, start + 1, end - start)
-
-
-def blank_spans(text: Column, spans: Column) -> Column:
-    """Replace every span by spaces of the same length."""
-    return F.aggregate(
-        spans,
-        text,
-        lambda t, s: F.concat(
-            F.substring(t, F.lit(1), s["start"]),
-            F.repeat(F.lit(" "), s["end"] - s["start"]),
-            F.substring(t, s["end"] + 1, F.length(t)),
-        ),
-    )
-
-
-def merge_spans(spans: Column) -> Column:
-    """Sorted union of spans; touching spans are joined."""
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.array_append(
-            F.slice(acc, F.lit(1), F.size(acc) - 1),
-            F.struct(
-                last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")
-            ),
-        )
-        return (
-            F.when(F.size(acc) == 0, F.array_append(acc, s))
-            .when(s["start"] <= last["end"], joined)
-            .otherwise(F.array_append(acc, s))
-        )
-
-    return F.aggregate(F.array_sort(spans), empty_spans(), step)
-
-
-def gaps_of(text: Column, merged: Column) -> Column:
-    """Spans of ``text`` that a sorted, merged span list leaves uncovered."""
-    starts = F.concat(F.array(F.lit(0)), F.transform(merged, lambda s: s["end"]))
-    ends = F.concat(F.transform(merged, lambda s: s["start"]), F.array(F.length(text)))
-    zipped = F.arrays_zip(starts, ends)
-    pairs = F.transform(zipped, lambda z: F.struct(z["0"].alias("start"), z["1"].alias("end")))
-    return F.filter(pairs, lambda z: z["end"] > z["start"])
-
-
-# --- E2: numbers ----------------------------------------------------------------------------
-
-
-def parse_number(raw: Column) -> Column:
-    """``15 000 000`` / ``1,5`` -> double."""
-    plain = F.regexp_replace(raw, U + r"[\s  ]", "")
-    return F.translate(plain, ",", ".").try_cast("double")
-
-
-WALK_METRES_PER_MINUTE = 80  # fixed value
-
-
-def parse_distance_m(raw: Column, unit: Column) -> Column:
-    """Metres from a value or a range (upper bound) in km, m or walking minutes."""
-    upper = F.element_at(F.split(raw, "[-–—]"), -1)
-    value = parse_number(F.trim(upper))
-    factor = (
-        F.when(unit.startswith("км") | unit.startswith("километр"), 1000)
-        .when(unit.startswith("минут"), WALK_METRES_PER_MINUTE)
-        .otherwise(1)
-    )
-    return F.bround(value * factor, 0).cast("int")
-
-
 # --- F2: similarity -------------------------------------------------------------------------
 
 MASK_BITS = 61  # longest text whose positions fit a BIGINT without overflow in the sum below

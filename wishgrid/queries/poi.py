@@ -54,8 +54,8 @@ SQL_PROFILE = f"""hits AS (SELECT p.slug, e.category, e.id, e.name, e.works, {_D
 all_cats AS (SELECT DISTINCT category FROM cats),
 profile AS (
   SELECT p.slug, c.category, count(h.id) AS count, min(d) FILTER (works) AS closest_distance_m,
-   arg_min({{'n': h.name}}, (d, id)) FILTER (works) AS closest, count_if(works) AS count_operational,
-   count_if(NOT works) AS count_under_construction, min(d) FILTER (NOT works) AS closest_under_construction_m
+   arg_min({{'n': h.name}}, (d, id)) FILTER (works) AS closest, count_if(coalesce(works, false)) AS count_operational,
+   count_if(NOT coalesce(works, true)) AS count_under_construction, min(d) FILTER (NOT works) AS closest_under_construction_m
   FROM places p CROSS JOIN all_cats c LEFT JOIN hits h ON h.slug = p.slug AND h.category = c.category
   WHERE p.lat IS NOT NULL GROUP BY p.slug, c.category)"""
 
