@@ -15,6 +15,14 @@ NO_SPANS = f"cast(array() as {SPANS})"
 NO_TEXTS = "cast(array() as array<string>)"
 
 
+MARK = "\x01"
+
+
+def unmarked(text: str) -> str:
+    """The text with the mark replaced by a space: same length, same offsets."""
+    return f"translate({text}, '{MARK}', ' ')"
+
+
 @dataclass(frozen=True)
 class Rule:
     """One pattern of a pack: a name, a Java regular expression, its number of groups."""
@@ -37,11 +45,12 @@ def let(value: str, name: str, body: str) -> str:
 def match_spans(text: str, rule: Rule) -> str:
     """Every match of one rule, left to right.
 
-    ``split`` gives the pieces between matches and ``regexp_extract_all`` the matches; the running
-    sum of both lengths gives the offsets.
+    Every match becomes one mark; the pieces between marks and the matches themselves have lengths
+    whose running sum gives the offsets. ``split`` on the pattern itself would compile it per row,
+    ``regexp_replace`` keeps it compiled. The text must not contain the mark (see ``unmarked``).
     """
     p = lit(rule.pattern)
-    parts = [f"split({text}, {p}, -1)"]
+    parts = [f"split(regexp_replace({text}, {p}, '{MARK}'), '{MARK}', -1)"]
     parts += [f"regexp_extract_all({text}, {p}, {g})" for g in range(rule.groups + 1)]
     groups = ", ".join(f"nullif(x.`{g + 2}`, '')" for g in range(rule.groups)) or "cast(null as string)"
     start, end = "acc.pos + length(x.`0`)", "acc.pos + length(x.`0`) + length(x.`1`)"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # Lower-case letters that look alike, and the letter folded to its base form.
 LOOKALIKE_FROM = "ёabcehkmoptxy"
 LOOKALIKE_TO = "еавсенкмортху"
+MARK = "\x01"  # reserved inside span expressions
 
 U = "(?U)"  # Unicode classes for \w, \b, \s, \d
 
@@ -31,7 +32,7 @@ def normalize_chars(c: Column | str) -> Column:
         "",
     )
     safe = F.when(F.length(low) == F.length(text), low).otherwise(by_char)
-    return F.translate(safe, LOOKALIKE_FROM, LOOKALIKE_TO)
+    return F.translate(safe, LOOKALIKE_FROM + MARK, LOOKALIKE_TO + " ")
 
 
 def normalize_key(c: Column | str) -> Column:

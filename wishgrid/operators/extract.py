@@ -333,7 +333,8 @@ def named_stations(df: DataFrame) -> DataFrame:
 
 def unmatched_stations(mentions: str, consumed: str) -> str:
     """Names of mentions that no understood span covers."""
-    return f"transform(filter({mentions}, m -> not {overlaps_any('m.s', 'm.e', consumed)}), m -> m.name)"
+    free = f"filter({mentions}, m -> not {overlaps_any('m.s', 'm.e', 'cs')})"
+    return let(consumed, "cs", f"transform({free}, m -> m.name)")
 
 
 def superlative_cue(norm: str = "norm") -> str:
@@ -378,13 +379,13 @@ def poi_requirements(df: DataFrame, blocked: str = NO_SPANS) -> DataFrame:
         " and not contains(_p[o.pos].tail.seg, 'станц')"
     )
     # A trailing distance is shared backwards over the enumeration that ends here.
-    spread = f"transform(acc.d, (x, i) -> case when x is null and i <= o.pos and i >= _head[o.pos] then {tail_m} else x end)"
+    spread = f"transform(acc.d, (x, i) -> case when x is null and i <= o.pos and i >= hd[o.pos] then {tail_m} else x end)"
     tail_span = "named_struct('s', _p[o.pos].e, 'e', _p[o.pos].e + length(_p[o.pos].tail.seg))"
-    df = add(
-        df,
-        _t="aggregate(_by_seq, named_struct('d', transform(_p, m -> m.own_m), 'spans', transform(_hits, h -> named_struct('s', h.s, 'e', h.e))),"
-        f" (acc, o) -> case when {usable} then named_struct('d', {spread}, 'spans', array_append(acc.spans, {tail_span})) else acc end)",
+    fold = (
+        "aggregate(_by_seq, named_struct('d', transform(_p, m -> m.own_m), 'spans', transform(_hits, h -> named_struct('s', h.s, 'e', h.e))),"
+        f" (acc, o) -> case when {usable} then named_struct('d', {spread}, 'spans', array_append(acc.spans, {tail_span})) else acc end)"
     )
+    df = add(df, _t=let("_head", "hd", fold))
     # A distance in front counts for the first requirement still without one, then for all of them.
     df = add(df, _open="get(filter(sequence(0, size(_p)), i -> i < size(_p) and _t.d[i] is null), 0)")
     head = "substring(norm, 1, _p[_open].s)"
@@ -402,9 +403,11 @@ def poi_requirements(df: DataFrame, blocked: str = NO_SPANS) -> DataFrame:
     )
     final = f"case when _lead_ok then transform(_t.d, x -> coalesce(x, {distance_m('_lead_raw', '_lead_unit')})) else _t.d end"
     df = add(df, _d=final)
-    rows = (
+    rows = let(
+        "_d",
+        "dv",
         "transform(_by_seq, o -> named_struct('category', _p[o.pos].category, 'only_new', _p[o.pos].only_new,"
-        f" 'max_distance_m', _d[o.pos], 'raw_phrase', {cut('text', '_p[o.pos].s', '_p[o.pos].e')}))"
+        f" 'max_distance_m', dv[o.pos], 'raw_phrase', {cut('text', '_p[o.pos].s', '_p[o.pos].e')}))",
     )
     df = add(df, _rows=rows)
     # One requirement per (category, new), the least distance, the first phrase.
@@ -562,7 +565,10 @@ def residuals(df: DataFrame, consumed: str, split_at: str = ru.CHUNK_SPLIT) -> D
 
 
 def explode_residuals(df: DataFrame) -> DataFrame:
-    """``(query_id, seq, phrase, class, option)``."""
-    return df.select("query_id", F.posexplode("residuals").alias("seq", "r")).selectExpr(
-        "query_id", "seq", "r.text as phrase", "r.class as class", "r.option as option"
-    )
+    """``(query_id, seq, phrase, class, option)``.
+
+    The outer form of explode: the inner one would infer a filter on the array and push it, with
+    every expression it is made of, below each family.
+    """
+    rows = df.select("query_id", F.posexplode_outer("residuals").alias("seq", "r")).where("r is not null")
+    return rows.selectExpr("query_id", "seq", "r.text as phrase", "r.class as class", "r.option as option")
