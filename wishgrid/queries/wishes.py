@@ -9,6 +9,7 @@ from wishgrid.operators import extract as e
 from wishgrid.plans.parse import apply_rules, parse
 from wishgrid.queries.base import table
 from wishgrid.queries.registry import query
+from wishgrid.session import spread
 
 YEAR = 2026
 
@@ -34,7 +35,7 @@ SQL_BASE = "(SELECT o_orderkey AS k, o_custkey AS c FROM orders)"
 
 def wishes(spark, sf):
     rows = table(spark, sf, "orders").selectExpr("o_orderkey as k", "o_custkey as c")
-    return rows.selectExpr("k as query_id", f"{TEXT} as text")
+    return spread(rows).selectExpr("k as query_id", f"{TEXT} as text")
 
 
 def normed(spark, sf):

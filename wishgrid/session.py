@@ -18,6 +18,8 @@ def build_session(app: str = "wishgrid", cores: str = "*", partitions: int = 8)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Locally rows are few but costly: keep all cores busy instead of merging small partitions.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -57,3 +59,12 @@ def through_table(df: DataFrame, label: str) -> DataFrame:
 def fixed_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of fixed values (rule packs, dimensions): its size is known when it is written down."""
     return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give costly per-row work all cores when the input has fewer splits than there are cores.
+
+    Large inputs have more splits than that and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
