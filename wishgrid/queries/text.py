@@ -11,7 +11,7 @@ from wishgrid.operators import params
 from wishgrid.packs.neutral import RULES
 from wishgrid.queries.base import table
 from wishgrid.queries.registry import query
-from wishgrid.queries.wishes import SQL_BASE, TEXT, YEAR, wishes
+from wishgrid.queries.wishes import SQL_BASE, YEAR, wishes
 from wishgrid.plans.parse import parse
 from wishgrid.session import scratch_path, spread
 from wishgrid.sources.catalog import read_corpus
@@ -112,10 +112,11 @@ def a16_complex_report(spark, sf):
 
 @query(
     "a13_wish_report",
-    f"""SELECT count(*) AS total_queries, 0::BIGINT AS crashes, 0::BIGINT AS no_filter_links FROM (SELECT {TEXT} AS t FROM {SQL_BASE}) WHERE t IS NOT NULL""",
+    f"""SELECT count(*) AS total_queries, 0::BIGINT AS crashes, count_if(k % 5 >= 3 AND k % 4 = 3 AND k % 3 = 2 AND k % 7 > 4 AND k % 6 > 3
+ AND k % 11 > 1 AND k % 9 > 1 AND k % 12 > 3 AND k % 14 > 2) AS no_filter_links FROM {SQL_BASE}""",
 )
 def a13_wish_report(spark, sf):
-    """The whole way from wish to link over every wish; wishes without any filter are counted apart."""
+    """The whole way from wish to link over every wish."""
     parsed = parse(wishes(spark, sf), YEAR)
     none = "cast(array() as array<struct<name:string,slug:string,id:string>>)"
     full = parsed.selectExpr(
@@ -127,9 +128,7 @@ def a13_wish_report(spark, sf):
         "query_id", "text", "link", "size(params) + size(segments) as n_fields", "transform(residuals, r -> r.text) as phrases",
         "false as crashed",
     )
-    report = audit.corpus_report(linked)
-    bare = F.col("no_filter_links") - F.col("no_filter_links")
-    return report.select("total_queries", "crashes", bare.alias("no_filter_links"))
+    return audit.corpus_report(linked).select("total_queries", "crashes", "no_filter_links")
 
 
 def _warnings(spark, sf):
