@@ -110,7 +110,7 @@ def modifier_conflict(a: str = "a", b: str = "b") -> Column:
     stop = texts(ru.STOP_WORDS)
 
     def common(x: str, y: str) -> str:
-        return f"coalesce(array_max(filter(sequence(1, least(length({x}), length({y}))), n -> left({x}, n) = left({y}, n))), 0)"
+        return f"coalesce(array_max(filter(sequence(1, least(length({x}), length({y}))), cn -> left({x}, cn) = left({y}, cn))), 0)"
 
     def stem(x: str, y: str) -> str:
         return f"({x} = {y} or ({common(x, y)} >= 2 and {common(x, y)} >= 0.6D * least(length({x}), length({y}))))"

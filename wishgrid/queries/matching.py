@@ -197,8 +197,8 @@ def e18_landmark_requirements(spark, sf):
 )
 def e21_entity_number_spans(spark, sf):
     part = table(spark, sf, "part").selectExpr("p_partkey", "concat_ws(' ', p_name, p_size) as label")
-    asks = spread(table(spark, sf, "customer").join(part, F.col("p_partkey") == F.col("c_custkey"))).selectExpr("c_custkey as query_id", "concat('дом', label) as x", "label").selectExpr(
-        "query_id", "concat('ab ', label, ', до 15 млн') as text"
+    asks = spread(table(spark, sf, "customer").join(part, F.col("p_partkey") == F.col("c_custkey"))).selectExpr(
+        "c_custkey as query_id", "concat('ab ', label) as text"
     )
     entries = part.groupBy("label").agg(F.min("p_partkey").alias("ord")).selectExpr(
         "ord", "'complex' as type", "label as name", "cast(null as string) as slug", "cast(null as string) as id", "cast(array() as array<string>) as aliases"
