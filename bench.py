@@ -46,6 +46,7 @@ def main() -> None:
         started = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - started, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     wishes = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
     extra = {}
     if "e24_assemble_criteria" in times:
