@@ -147,7 +147,7 @@ SQL_ALIAS = """alias_facts AS (
          confidence, source, subject_id FROM folded WHERE fact_type IN ('view', 'click', 'signup')
          AND (subject_id::INT % 3 = 0 OR fact_type = 'view')),
 votes AS (
-  SELECT 'рhrаsе ' AS unused, lower(regexp_replace(phrase, '\\s+', ' ')) AS phrase, slug,
+  SELECT lower(regexp_replace(phrase, '\\s+', ' ')) AS phrase, slug,
          sum(observed_count)::BIGINT AS votes, max(confidence) AS confidence, min(fact_id) AS first_id
   FROM alias_facts GROUP BY ALL),
 tops AS (
@@ -166,7 +166,7 @@ def _alias_facts(spark, sf):
     )
     # The order of the ids only decides ties; any order-preserving number of the key will do.
     return folded.selectExpr(
-        "concat(lpad('', 0), subject_id, ' ', fact_type) as fact_key",
+        "concat(subject_id, ' ', fact_type) as fact_key",
         "'option' as subject_type",
         "fact_type as subject_id",
         "concat('Phrase  ', cast(subject_id as int) % 40) as phrase",

@@ -319,12 +319,10 @@ def u2_fallback_blocks(spark, sf):
 
 @query(
     "u3_merge_enrichment",
-    """SELECT c_custkey AS query_id, CASE WHEN c_custkey % 2 = 0 THEN array_to_string(list_distinct(list_filter([c_custkey % 150, 5, 5], lambda i: i < (SELECT count(*) FROM supplier))[1:1]
- || list_filter([5], lambda i: c_custkey % 150 <> 5 OR false)), ',') ELSE '7' END AS complexes, 'd0' || CASE WHEN c_custkey % 3 = 0 AND c_custkey % 40 < 25 THEN ',d' || (c_custkey % 40) ELSE '' END AS districts, false AS matched_empty FROM customer""".replace(
-        """array_to_string(list_distinct(list_filter([c_custkey % 150, 5, 5], lambda i: i < (SELECT count(*) FROM supplier))[1:1]
- || list_filter([5], lambda i: c_custkey % 150 <> 5 OR false)), ',')""",
-        "CASE WHEN c_custkey % 150 IN (SELECT s_suppkey FROM supplier) AND c_custkey % 150 <> 5 THEN (c_custkey % 150) || ',5' ELSE '5' END",
-    ),
+    """SELECT c_custkey AS query_id, CASE WHEN c_custkey % 2 <> 0 THEN '7'
+  WHEN c_custkey % 150 IN (SELECT s_suppkey FROM supplier) AND c_custkey % 150 <> 5 THEN (c_custkey % 150) || ',5' ELSE '5' END AS complexes,
+ 'd0' || CASE WHEN c_custkey % 3 = 0 AND c_custkey % 40 < 25 THEN ',d' || (c_custkey % 40) ELSE '' END AS districts,
+ false AS matched_empty FROM customer""",
 )
 def u3_merge_enrichment(spark, sf):
     k = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))

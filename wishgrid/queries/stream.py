@@ -13,7 +13,7 @@ from wishgrid.session import scratch_path
 from wishgrid.streaming.facts import fold_facts_stream, latest_state
 from wishgrid.streaming.usage import usage_report_stream
 
-EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 def event_stream(spark, sf) -> DataFrame:
@@ -31,7 +31,8 @@ def event_stream(spark, sf) -> DataFrame:
 )
 def t1_usage_report_stream(spark, sf):
     log = event_stream(spark, sf).selectExpr(
-        "ts as occurred_at", f"{K} % 3 <> 0 as had_poi_or_center", f"{K} % 5 < 2 as fully_resolved_deterministically",
+        # The table holds wall-clock times; they are read as UTC so that days do not depend on the session.
+        "cast(concat(cast(ts as string), 'Z') as timestamp) as occurred_at", f"{K} % 3 <> 0 as had_poi_or_center", f"{K} % 5 < 2 as fully_resolved_deterministically",
         f"{K} % 7 = 1 as cache_hit", f"{K} % 4 = 0 as ai_called", f"({K} % 8 = 0 or {K} % 6 = 1) as criteria_changed_by_ai",
         "event_type = 'error' as ai_failed",
     )
@@ -46,7 +47,9 @@ def t1_usage_report_stream(spark, sf):
         .start()
     )
     job.awaitTermination()
-    done = spark.read.parquet(out).drop("window_end")
+    done = spark.read.parquet(out).drop("window_end").withColumn(
+        "window_start", F.expr("to_utc_timestamp(window_start, current_timezone())")
+    )
     return _stamped(done, "window_start").select("window_start", *usage.COUNTS, *usage.SHARES)
 
 
@@ -61,7 +64,7 @@ def t2_fold_facts_stream(spark, sf):
         "'user' as subject_type", "cast(user_id as string) as subject_id", "event_type as fact_type",
         f"concat('{{\"v\":', {K} % 2, '}}') as fact_value",
         "case when value > 400 then 'promoted' else 'ai_inference' end as source", "value / 500 as confidence",
-        "ts as observed_at", "event_id as event_order",
+        "cast(ts as timestamp) as observed_at", "event_id as event_order",
     )
     out = scratch_path(spark, "facts-stream")
     job = (
