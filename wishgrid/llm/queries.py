@@ -9,6 +9,7 @@ from wishgrid.llm.common import joined_names
 from wishgrid.llm.decontaminate import contaminated, contamination
 from wishgrid.llm.langid import fit, held_out, identify
 from wishgrid.llm.mixing import mix_sources
+from wishgrid.llm.order_minhash import near_duplicates
 from wishgrid.llm.token_files import round_trip
 from wishgrid.llm.url_filter import judge_urls
 
@@ -54,6 +55,10 @@ def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf, "documents")).select("doc_id", "class_id")
+
+
 def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return round_trip(_table(spark, sf, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_decontaminate": op3_decontaminate,
     "op6_language_id": op6_language_id,
+    "op8_order_minhash": op8_order_minhash,
     "op9_token_files": op9_token_files,
 }
 
