@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from wishgrid.llm.common import joined_names
 from wishgrid.llm.decontaminate import contaminated, contamination
+from wishgrid.llm.html_text import extract_text
 from wishgrid.llm.langid import fit, held_out, identify
+from wishgrid.llm.line_dedup import repeated_units
 from wishgrid.llm.mixing import mix_sources
+from wishgrid.llm.neighbours import nearest_neighbours
 from wishgrid.llm.order_minhash import near_duplicates
 from wishgrid.llm.token_files import round_trip
 from wishgrid.llm.url_filter import judge_urls
@@ -49,12 +52,22 @@ def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = repeated_units(_table(spark, sf, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("+", s["start"].cast("string"), s["len"].cast("string"))), ",")
+    return found.select("doc_id", "n_units", "n_removed", "chars_removed", spans.alias("spans"))
+
+
 def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     told = identify(docs.select("doc_id", "text"), fit(docs))
     return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_text(_table(spark, sf, "pages"))
+
+
 def op8_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents")).select("doc_id", "class_id")
 
@@ -63,13 +76,20 @@ def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return round_trip(_table(spark, sf, "documents"))
 
 
+def op10_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf, "embeddings"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mix_sources": op2_mix_sources,
     "op3_decontaminate": op3_decontaminate,
+    "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
+    "op7_html_text": op7_html_text,
     "op8_order_minhash": op8_order_minhash,
     "op9_token_files": op9_token_files,
+    "op10_neighbours": op10_neighbours,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -148,4 +168,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)
 """
 
-ORACLES = {"op1_url_filter": OP1_SQL, "op2_mix_sources": OP2_SQL, "op3_decontaminate": OP3_SQL}
+OP5_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS u FROM documents),
+units AS (
+  SELECT r, doc_id, i - 1 AS pos, u[i] AS unit, trim(regexp_replace(lower(u[i]), '\\s+', ' ', 'g')) AS norm
+  FROM (SELECT r, doc_id, u, unnest(range(1, len(u) + 1)) AS i FROM d)),
+marked AS (
+  SELECT *, sum(length(unit) + 1) OVER (PARTITION BY r ORDER BY pos) - length(unit) - 1 AS start,
+         length(norm) - length(replace(norm, ' ', '')) >= 4 AS enough,
+         row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS FIRST, pos) AS k
+  FROM units),
+sums AS (
+  SELECT r, count(*) AS n_units, count(*) FILTER (enough AND k > 1) AS n_removed,
+         sum(length(unit)) FILTER (enough AND k > 1) AS chars_removed,
+         string_agg(start::BIGINT || '+' || length(unit), ',' ORDER BY pos) FILTER (enough AND k > 1) AS spans
+  FROM marked GROUP BY r)
+SELECT doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(chars_removed, 0)::BIGINT AS chars_removed, coalesce(spans, '') AS spans
+FROM d LEFT JOIN sums USING (r)
+"""
+
+ORACLES = {"op5_line_dedup": OP5_SQL, "op1_url_filter": OP1_SQL, "op2_mix_sources": OP2_SQL, "op3_decontaminate": OP3_SQL}
