@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,8 +19,11 @@ SHINGLE, LEAST = 5, 0.8
 #: Each of BANDS keys joins ROWS sketches; a sketch is the PICKS least labelled shingles in text order. A pair of
 #: similarity 0.8 shares a key but for (1 - 0.8 ** (PICKS * ROWS)) ** BANDS = 0.00003 of cases.
 BANDS, ROWS, PICKS = 20, 2, 2
-#: Buckets of more members than this meet on two common keys instead of one in the last step.
-LARGE = 64
+#: Times that the texts of a bucket meet a centre before the rest is compared.
+STARS = 3
+#: Buckets of more texts are compared inside tasks, in blocks of this size, and only on the first bands: a pair of
+#: similarity 0.8 shares none of these in 0.0006 of cases.
+LARGE, BLOCK_TEXTS, CROWDED_BANDS = 16, 1024, 14
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.random.default_rng(20).integers(1, 2**63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -172,69 +176,104 @@ def components(links: DataFrame) -> DataFrame:
         labels = following.select("id", "comp")
 
 
-def near_duplicates(docs: DataFrame, least: float = LEAST, large: int = LARGE) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = LEAST, large: int = LARGE, block: int = BLOCK_TEXTS) -> DataFrame:
     """documents(doc_id, text) -> doc_id, key (hash of the text), class_id, class_key, one row per row of ``docs``.
 
     Similar are documents whose occurrence-labelled shingles of five words align in order to ``least`` of all the
     shingles of both. A class is what such links connect; it is named by its least doc_id (nulls last).
 
     Equal word sequences are one text from the start (texts without words and nulls too), so thousands of copies are
-    one text afterwards. Texts that share a band key are candidates. First each is aligned with the least of its
-    bucket; then with the least that is not in that one's class; then all pairs of a bucket that are still in
-    different classes, in buckets of more than ``large`` only those with two common keys (of pairs at 0.8 four in ten
-    thousand have fewer). So pairs within a class that is already one are never listed, and there is no cap.
+    one text afterwards. Texts that share a band key are candidates. STARS times every text of a bucket is aligned
+    with a centre: the text with the fullest buckets that is not yet in the class of the earlier centre. Texts of one
+    bucket that are in different classes even then are all compared: in buckets up to ``large`` as listed pairs, in
+    larger ones inside tasks that take two blocks of at most about ``block`` texts and send back links only. There
+    is no cap on a bucket, a class or the partners of a text, and pairs within a class are never listed.
     Repeated rows, ties in doc_id and null ids each keep a row; an empty table gives none.
     """
     drawn = written(sketches(docs), "sketches")
     told = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")
     texts = drawn.groupBy("id").agg(F.min(told).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    members = texts.select("id", "n", F.explode("keys").alias("k"))
-    shared = members.groupBy("k").agg(F.count("*").alias("rows")).where("rows > 1")
-    members = written(members.join(shared, "k").select("k", "id", "n", "rows"), "members")
-    ids = members.select("id").distinct()
+    spread = texts.select("id", "n", F.posexplode("keys").alias("band", "k"))
+    shared = spread.groupBy("k").agg(F.count("*").alias("rows")).where("rows > 1")
+    members = written(spread.join(shared, "k").select("k", "band", "id", "n", "rows"), "members")
+    weights = members.groupBy("id").agg(F.sum("rows").alias("weight"))
     words = docs.select(text_words(F.col("text")).alias("w"))
     words = words.select(F.unhex(F.md5(F.array_join("w", " "))).alias("id"), F.transform("w", lambda x: F.hash(x)).alias("w"))
-    words = written(words.join(ids, "id", "left_semi").groupBy("id").agg(F.first("w").alias("w")), "words")
+    words = written(words.join(weights.select("id"), "id", "left_semi").groupBy("id").agg(F.first("w").alias("w")), "words")
+    members = written(members.join(weights, "id"), "members").withColumn("comp", F.col("id"))
     fits = F.least("n", "m") >= least * F.greatest("n", "m")
 
-    def pivots(of: DataFrame) -> DataFrame:
-        return of.groupBy("k").agg(F.min(F.struct("id", "n", "comp")).alias("p")).select("k", F.col("p.id").alias("a"), F.col("p.n").alias("m"), F.col("p.comp").alias("pc"))
-
-    def labelled(links: DataFrame) -> DataFrame:
-        comps = components(links)
-        return members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-
-    def starred(of: DataFrame, centre: DataFrame) -> DataFrame:
-        met = of.join(centre, "k").where((F.col("comp") != F.col("pc")) & fits)
-        return met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-
-    start = members.withColumn("comp", F.col("id"))
-    first = pivots(start)
-    tried = written(starred(start, first), "pairs")
-    links = written(verified(tried, words, least), "links")
-    now = written(labelled(links), "labelled")
-    away = now.join(pivots(now), "k").where("comp <> pc").select("k", "id", "n", "comp")
-    more = written(starred(now, pivots(away)).join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(written(verified(more, words, least), "links"))
-    now = labelled(links)
+    def centres(of: DataFrame) -> DataFrame:
+        best = of.groupBy("k").agg(F.max(F.struct("weight", "id", "n", "comp")).alias("p"))
+        return best.select("k", F.col("p.id").alias("a"), F.col("p.n").alias("m"), F.col("p.comp").alias("pc"))
+
+    def classed(links: DataFrame, of: DataFrame) -> DataFrame:
+        return of.drop("comp").join(components(links), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+    tried: list[DataFrame] = []
+    links: list[DataFrame] = []
+
+    def tested(pairs: DataFrame) -> None:
+        fresh = reduce(lambda x, y: x.join(y, ["a", "b"], "left_anti"), tried, pairs.distinct())
+        tried.append(written(fresh, "pairs"))
+        links.append(written(verified(tried[-1], words, least), "links"))
+
+    now, open_keys = members, members
+    for _ in range(STARS):
+        met = now.join(centres(open_keys), "k").where((F.col("comp") != F.col("pc")) & fits)
+        tested(met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")))
+        now = written(classed(reduce(DataFrame.union, links), members), "classed")
+        open_keys = now.join(centres(now), "k").where("comp <> pc").select("k", "id", "n", "weight", "comp")
     several = now.groupBy("k").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("k")
     rest = written(now.join(several, "k"), "rest")
-    small = rest.where(f"rows <= {large}").select(F.array("k").alias("k"), "id", "n", "comp")
-    many = rest.where(f"rows > {large}")
-    others = members.select("id", F.col("k").alias("other"))
-    twice = many.join(others, "id").where("k <> other").select(F.array_sort(F.array("k", "other")).alias("k"), "id", "n", "comp").distinct()
-    left = small.union(twice)
+    left = rest.where(f"rows <= {large}").select("k", "id", "n", "comp")
     right = left.select("k", F.col("id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("pc"))
-    last = left.join(right, (left["k"] == right["k"]) & (left["id"] < right["b"]) & (left["comp"] != right["pc"]) & fits).select(F.col("id").alias("a"), "b").distinct()
-    last = written(reduce(lambda x, y: x.join(y, ["a", "b"], "left_anti"), [last, tried, more]), "pairs")
-    links = links.union(written(verified(last, words, least), "links"))
-    comps = components(links)
-    classed = texts.select("id", "rep").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    head = classed.groupBy("comp").agg(F.min("rep").alias("head"))
-    named = classed.select("id", "comp").join(head, "comp").select("id", F.col("head.doc_id").alias("class_id"), F.col("head.key").alias("class_key"))
+    both = (left["k"] == right["k"]) & (left["id"] < right["b"]) & (left["comp"] != right["pc"]) & fits
+    tested(left.join(right, both).select(F.col("id").alias("a"), "b"))
+    crowded = rest.where(f"rows > {large} AND band < {CROWDED_BANDS}")
+    links.append(written(_linked_in_blocks(crowded, words.join(texts.select("id", "keys"), "id"), least, block), "links"))
+    comps = components(reduce(DataFrame.union, links))
+    named = texts.select("id", "rep").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    head = named.groupBy("comp").agg(F.min("rep").alias("head"))
+    named = named.select("id", "comp").join(head, "comp").select("id", F.col("head.doc_id").alias("class_id"), F.col("head.key").alias("class_key"))
     return drawn.select("id", "doc_id", "key").join(named, "id").select("doc_id", "key", "class_id", "class_key")
 
 
+def _linked_in_blocks(crowded: DataFrame, texts: DataFrame, least: float, block: int) -> DataFrame:
+    """Links between texts of one crowded bucket and of different classes; each pair meets in its first common band."""
+    parts = crowded.groupBy("k").agg(F.expr(f"int((count(*) + {block - 1}) div {block})").alias("parts"))
+    own = crowded.join(parts, "k").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    dealt = own.select("k", "band", "id", "comp", "part", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
+    dealt = dealt.select("k", "band", "id", "comp", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+
+    def linked(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        band, lo, hi = int(rows["band"].iloc[0]), key[1], key[2]
+        own = [shingles(np.asarray(w)) for w in rows["w"]]
+        size = np.array([len(x) for x in own])
+        keys = np.array(rows["keys"].tolist())[:, : band + 1]
+        comp = np.unique(rows["comp"].to_numpy(), return_inverse=True)[1]
+        part, names, found = rows["part"].to_numpy(), rows["id"].to_numpy(), []
+        for u in np.flatnonzero(part == lo):
+            right = part == hi
+            right[: u + 1] &= lo != hi
+            right &= (comp != comp[u]) & (np.minimum(size, size[u]) >= least * np.maximum(size, size[u]))
+            right &= ~(keys[:, :band] == keys[u, :band]).any(axis=1)
+            at = np.flatnonzero(right)
+            if not len(at):
+                continue
+            sorted_u = np.sort(own[u])
+            flat = np.concatenate([own[v] for v in at])
+            hit = sorted_u[np.minimum(np.searchsorted(sorted_u, flat), len(sorted_u) - 1)] == flat
+            common = np.add.reduceat(hit.astype(np.int64), np.append(0, np.cumsum(size[at])[:-1]))
+            for v in at[common >= least * (size[u] + size[at] - common)]:
+                if comp[v] != comp[u] and similarity(own[u], own[v], least) >= least:
+                    found.append((min(names[u], names[v]), max(names[u], names[v])))
+                    comp[comp == comp[v]] = comp[u]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return dealt.join(texts, "id").groupBy("k", "lo", "hi").applyInPandas(linked, "a binary, b binary")
+
+
 def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One document (all its columns) of each class of near duplicates: the one that names the class."""
     classes = near_duplicates(docs, least)
