@@ -13,6 +13,7 @@ from wishgrid.llm.line_dedup import repeated_units
 from wishgrid.llm.mixing import mix_sources
 from wishgrid.llm.neighbours import nearest_neighbours
 from wishgrid.llm.order_minhash import near_duplicates
+from wishgrid.llm.substring_dedup import remove_repeats
 from wishgrid.llm.token_files import round_trip
 from wishgrid.llm.url_filter import judge_urls
 
@@ -52,6 +53,10 @@ def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = repeated_units(_table(spark, sf, "documents"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("+", s["start"].cast("string"), s["len"].cast("string"))), ",")
@@ -84,6 +89,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mix_sources": op2_mix_sources,
     "op3_decontaminate": op3_decontaminate,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
     "op7_html_text": op7_html_text,
