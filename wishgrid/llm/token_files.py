@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,12 @@ CHUNKS = (
     "doc_ids array<long>, doc_lengths array<long>, plane_bytes array<int>, payload binary"
 )
 
-_ODD_SPACE = re.compile(r"[^\S \n]|\s\s|\x00")
+_PAIRS = ("  ", "\n\n", " \n", "\n ", "\x00")
+_ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+assert array("I").itemsize == 4
 _tokenizers: dict[str, object] = {}
-_pieces: dict[str, dict[str, bytes]] = {}
+_pieces: dict[str, list[dict[str, bytes]]] = {}
 
 
 def default_tokenizer() -> str:
@@ -38,37 +42,57 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _odd(text: str) -> bool:
+    """Has white space other than single spaces and line breaks."""
+    if any(p in text for p in _PAIRS):
+        return True
+    return any(c in text for c in _ASCII_SPACE) if text.isascii() else bool(_OTHER_SPACE.search(text))
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text, as little-endian unsigned 32-bit integers.
 
-    A byte-level BPE never joins what stands before a space or on either side of a line break, so where white space
-    is single spaces and line breaks the pieces between are encoded once and remembered. Any other text, and texts
-    with a special token, are encoded whole.
+    A byte-level BPE never joins what stands before a space or on either side of a line break, nor a letter with the
+    comma or full stop behind it. Where white space is single spaces and line breaks, the pieces between are encoded
+    once and remembered, the last REMEMBERED of them and those that were used since. Any other text, and texts with a special token, are encoded whole.
     """
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path], _pieces[path] = Tokenizer.from_file(path), {"": b""}
-    tokenizer, known, out = _tokenizers[path], _pieces[path], []
+        _tokenizers[path], _pieces[path] = Tokenizer.from_file(path), [{}, {}]
+    tokenizer, (known, older) = _tokenizers[path], _pieces[path]
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def ids(some: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
-    for text in texts:
-        if _ODD_SPACE.search(text) or any(s in text for s in special):
+    out: list[bytes | None] = []
+    split: dict[int, tuple[list[str], list[bytes | None]]] = {}
+    for k, text in enumerate(texts):
+        if _odd(text) or any(s in text for s in special):
             out += ids([text])
             continue
         pieces = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
-        new = [p for p in set(pieces) if p not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                known[""] = b""
-                new = list(set(pieces))
-            known.update(zip(new, ids(new), strict=True))
-        out.append(b"".join([known[p] for p in pieces]))
+        split[k] = pieces, list(map(known.get, pieces))
+        out.append(None)
+    new = {p for pieces, found in split.values() if None in found for p, i in zip(pieces, found, strict=True) if i is None}
+    fresh = {p: older[p] for p in new if p in older}
+    stems = {p: p[:-1] for p in new if p not in fresh and p[-1] in ",." and (p[0] == " " or p[0].isalpha()) and p[1:-1].isalpha()}
+    for p in {*stems.values(), ",", "."}:
+        if p not in fresh and (own := known.get(p) or older.get(p)):
+            fresh[p] = own
+    never = [p for p in {*new, *stems.values(), ",", "."} if p not in fresh and p not in stems]
+    fresh.update(zip(never, ids(never), strict=True))
+    fresh.update({p: fresh[stem] + fresh[p[-1]] for p, stem in stems.items()})
+    for k, (pieces, found) in split.items():
+        if None in found:
+            found = [fresh[p] if i is None else i for p, i in zip(pieces, found, strict=True)]
+        out[k] = b"".join(found)
+    if len(known) + len(fresh) > REMEMBERED:
+        _pieces[path] = [fresh, known]
+    else:
+        known.update(fresh)
     return out
 
 
