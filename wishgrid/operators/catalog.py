@@ -395,8 +395,8 @@ def apply_curation(
 ) -> DataFrame:
     """Drop, fold duplicates into target aliases, rename keeping the old name as alias.
 
-    ``delete(name)``, ``merge(duplicate, target, extra_alias)``, ``rename(old, new)``. While
-    ``curation_errors`` has rows nothing is applied: the result then is empty.
+    ``delete(name)``, ``merge(duplicate, target, extra_alias)``, ``rename(old, new)``. If
+    ``curation_errors`` has rows nothing is applied: the query fails and names their number.
     """
     errors = curation_errors(entries, delete, merge, rename).agg(F.count(F.lit(1)).alias("n"))
     folded = (
@@ -438,8 +438,10 @@ def apply_curation(
         .withColumn("name", F.coalesce("new", "name"))
         .withColumn("one", F.lit(1))
     )
-    clean = errors.where("n = 0").withColumn("one", F.lit(1))
-    return out.join(clean, "one", "left_semi").select(*entries.columns)
+    checked = errors.withColumn("one", F.lit(1))
+    stop = F.raise_error(F.concat(F.lit("curation errors: "), F.col("n").cast("string")))
+    sound = F.when(F.col("n") > 0, stop.cast("boolean")).otherwise(F.lit(True))
+    return out.join(F.broadcast(checked), "one").where(sound).select(*entries.columns)
 
 
 def catalog_quality(entries: DataFrame, baseline: DataFrame, allowed: DataFrame, removed: DataFrame) -> DataFrame:

@@ -350,7 +350,7 @@ def poi_requirements(df: DataFrame, blocked: str = NO_SPANS) -> DataFrame:
     hits = arbitrate(scan("norm", [ru.CENTRE, *ru.POI_RULES]))
     df = add(df, _hits=hits)
     tail = let(
-        "substring(norm, m.e + 1, 200)",
+        "substring(norm, m.e + 1)",
         "t",
         f"named_struct('seg', regexp_extract(t, {lit(ru.TRAILING_DISTANCE)}, 0),"
         f" 'raw', regexp_extract(t, {lit(ru.TRAILING_DISTANCE)}, 1), 'unit', regexp_extract(t, {lit(ru.TRAILING_DISTANCE)}, 2))",

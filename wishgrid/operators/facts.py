@@ -20,14 +20,15 @@ ALIAS_FACT = "option_alias"
 
 
 def canonical_json(c: Column | str) -> Column:
-    """One spelling per JSON value: keys sorted, no insignificant white space."""
-    return F.to_json(F.parse_json(F.col(c) if isinstance(c, str) else c))
+    """One spelling per JSON value: keys sorted, no insignificant white space. Text that is no JSON stays."""
+    text = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
 
 
 def fold_facts(
     observations: DataFrame, keys: list[str] | None = None, chunk_seconds: int = 86400
 ) -> DataFrame:
-    """A4: one row per fact from ordered observations.
+    """A4: one row per fact from ordered observations; values are compared as JSON, not as text.
 
     ``observations(subject_type, subject_id, fact_type, fact_value, source, confidence,
     observed_at, event_order)``. Kept: latest value and source, number of observations, first and
@@ -43,18 +44,19 @@ def fold_facts(
     rows = observations.withColumn(
         "chunk", F.expr(f"cast(floor(unix_seconds(cast(observed_at as timestamp)) / {chunk_seconds}) as bigint)")
     )
-    previous = F.lag("fact_value").over(in_chunk)
+    rows = rows.withColumn("_value", canonical_json("fact_value"))
+    previous = F.lag("_value").over(in_chunk)
     marked = rows.withColumn(
         "changed",
-        F.when(previous.isNull(), 0).when(previous == F.col("fact_value"), 0).otherwise(1),
+        F.when(previous.isNull(), 0).when(previous == F.col("_value"), 0).otherwise(1),
     ).withColumn("run", F.sum("changed").over(in_chunk))
     runs = marked.groupBy(*chunk, "run").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("confidence").alias("run_confidence"),
         F.min("observed_at").alias("first_seen_at"),
         F.max("observed_at").alias("last_confirmed_at"),
-        F.expr("max_by(struct(fact_value, source), struct(observed_at, event_order))").alias("latest"),
-        F.first("fact_value").alias("run_value"),
+        F.expr("max_by(struct(fact_value, source, _value), struct(observed_at, event_order))").alias("latest"),
+        F.first("_value").alias("run_value"),
     )
     slices = runs.groupBy(*chunk).agg(
         F.sum("n").alias("n"),
@@ -65,7 +67,7 @@ def fold_facts(
         F.expr("max_by(struct(latest, run_confidence), run)").alias("tail"),
     )
     over_key = Window.partitionBy(*keys).orderBy("chunk")
-    before = F.lag("tail.latest.fact_value").over(over_key)
+    before = F.lag("tail.latest._value").over(over_key)
     stitched = (
         slices.withColumn(
             "seam", F.when(before.isNull() | (before == F.col("first_value")), 0).otherwise(1)

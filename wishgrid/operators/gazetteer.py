@@ -290,7 +290,7 @@ def landmark_requirements(queries: DataFrame, landmarks: DataFrame) -> DataFrame
     )
     once = per_marker.groupBy("query_id", F.col("r.m.lm.name").alias("name")).agg(F.min_by(F.struct("marker_s", "r"), "marker_s").alias("x"))
     lead = f"regexp_extract(substring(norm, 1, x.marker_s), {lit(ru.SUPERLATIVE_PREFIX)}, 0)"
-    tail = "substring(norm, x.r.window_e + 1, 120)"
+    tail = "substring(norm, x.r.window_e + 1)"
     dist = lit(ru.LANDMARK_DISTANCE)
     return (
         once.join(queries.select("query_id", "norm"), "query_id")

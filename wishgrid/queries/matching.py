@@ -11,7 +11,6 @@ from wishgrid.operators.similar import similar_pairs
 from wishgrid.queries.base import sql_key, table, with_sql
 from wishgrid.queries.catalog import sql_similarity
 from wishgrid.queries.registry import query
-from wishgrid.session import spread
 
 # Labels of parts and of parts with one or two letters changed.
 SQL_FORMS = """names AS (SELECT DISTINCT p_name || ' ' || p_size AS b FROM part),
@@ -101,7 +100,7 @@ def _entries(spark, sf):
 def _asking(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_name")
     rows = table(spark, sf, "orders").join(part, F.col("p_partkey") == F.col("o_custkey"))
-    return spread(rows).selectExpr(
+    return rows.selectExpr(
         "o_orderkey as query_id",
         "concat(case o_orderkey % 3 when 0 then 'хочу жк ' when 1 then 'ищу квартиру, ' else 'в жк ' end, p_name, case when o_orderkey % 2 = 0 then ', недорого' else '' end) as text",
     )
@@ -183,7 +182,7 @@ FROM orders JOIN part ON p_partkey = o_custkey""",
 )
 def e18_landmark_requirements(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_name")
-    rows = spread(table(spark, sf, "orders").join(part, F.col("p_partkey") == F.col("o_custkey"))).selectExpr(
+    rows = (table(spark, sf, "orders").join(part, F.col("p_partkey") == F.col("o_custkey"))).selectExpr(
         "o_orderkey as query_id",
         "concat(case when o_orderkey % 3 = 0 then 'как можно ближе к ' else 'дом рядом с ' end, p_name, case when o_orderkey % 2 = 0 then concat(' не дальше ', 1 + o_custkey % 5, ' км') else '' end) as text",
     ).withColumn("norm", normalize_chars("text"))
@@ -197,7 +196,7 @@ def e18_landmark_requirements(spark, sf):
 )
 def e21_entity_number_spans(spark, sf):
     part = table(spark, sf, "part").selectExpr("p_partkey", "concat_ws(' ', p_name, p_size) as label")
-    asks = spread(table(spark, sf, "customer").join(part, F.col("p_partkey") == F.col("c_custkey"))).selectExpr(
+    asks = (table(spark, sf, "customer").join(part, F.col("p_partkey") == F.col("c_custkey"))).selectExpr(
         "c_custkey as query_id", "concat('ab ', label) as text"
     )
     entries = part.groupBy("label").agg(F.min("p_partkey").alias("ord")).selectExpr(
@@ -228,10 +227,10 @@ def _halves(spark, sf):
     )
 
 
-@query("f10_semantic_lookup", _lookup_sql(0.2))
+@query("f10_semantic_lookup", _lookup_sql(0.6))
 def f10_semantic_lookup(spark, sf):
     asked, cache = _halves(spark, sf)
-    return vectors.semantic_lookup(asked, cache, 0.2, 64).withColumn("dist", F.round("dist", 4))
+    return vectors.semantic_lookup(asked, cache, 0.6, 64).withColumn("dist", F.round("dist", 4))
 
 
 @query("f10_semantic_lookup_wide", _lookup_sql(0.65))

@@ -13,14 +13,14 @@ from wishgrid.queries.base import table
 from wishgrid.queries.registry import query
 from wishgrid.queries.wishes import SQL_BASE, YEAR, wishes
 from wishgrid.plans.parse import parse
-from wishgrid.session import scratch_path, spread
+from wishgrid.session import scratch_path
 from wishgrid.sources.catalog import read_corpus
 
 NUMBER = RULES[2]
 
 
 def docs(spark, sf):
-    return spread(table(spark, sf, "documents")).selectExpr("doc_id", f"{unmarked('text')} as text")
+    return (table(spark, sf, "documents")).selectExpr("doc_id", f"{unmarked('text')} as text")
 
 
 @query(
@@ -134,14 +134,14 @@ def a13_wish_report(spark, sf):
 def _warnings(spark, sf):
     return table(spark, sf, "conversations").selectExpr(
         "conv_id * 1000 + turn as query_id", "concat(role, ' ', conv_id % 50) as text",
-        "concat('«', left(text, 20), '»: ', role, ' ', turn % 3) as warning",
-    ).where("not contains(substring(warning, 2, 20), '»')")
+        "concat('«', replace(text, '»', ''), '»: ', role, ' ', turn % 3) as warning",
+    )
 
 
 @query(
     "a14_warning_classes",
     """WITH w AS (SELECT conv_id * 1000 + turn AS query_id, role || ' ' || (conv_id % 50) AS text, '«…»: ' || role || ' ' || (turn % 3) AS template
-  FROM conversations WHERE NOT contains(substring(text, 1, 20), '»')),
+  FROM conversations),
 f AS (SELECT template, text, min(query_id) AS q FROM w GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY q, text) AS rn FROM f)
 SELECT w.template, count(*) AS count, (SELECT string_agg(text, '|' ORDER BY rn) FROM r WHERE r.template = w.template AND rn <= 5) AS examples FROM w GROUP BY w.template""",

@@ -20,6 +20,9 @@ def build_session(app: str = "wishgrid", cores: str = "*", partitions: int = 8)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Locally rows are few but costly: keep all cores busy instead of merging small partitions.
         .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        # Costly per-row work gets all cores also where the input is small.
+        .config("spark.sql.files.minPartitionNum", str(partitions))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -33,13 +36,11 @@ def build_session(app: str = "wishgrid", cores: str = "*", partitions: int = 8)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary folder only where it is unset (tests)."""
+    """The folder that the driver and all executors share; the cluster or ``build_session`` names it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not configured:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return configured
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -59,12 +60,3 @@ def through_table(df: DataFrame, label: str) -> DataFrame:
 def fixed_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of fixed values (rule packs, dimensions): its size is known when it is written down."""
     return F.broadcast(spark.createDataFrame(rows, schema))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give costly per-row work all cores when the input has fewer splits than there are cores.
-
-    Large inputs have more splits than that and stay as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +19,14 @@ STATE = (
 RESULT = "subject_type string, subject_id string, fact_type string, " + STATE
 
 
+def _canonical(value: str) -> str:
+    """One spelling per JSON value, as in the batch fold."""
+    try:
+        return json.dumps(json.loads(value), sort_keys=True, separators=(",", ":"))
+    except (TypeError, ValueError):
+        return value
+
+
 def _fold(
     key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
@@ -28,7 +37,8 @@ def _fold(
         last, _, run_max, seen, conflicts, first, _ = state.get
     else:
         last, run_max, seen, conflicts, first = value.iloc[0], 0.0, 0, 0, rows["observed_at"].iloc[0]
-    changed = value != value.shift(fill_value=last)
+    told = value.map(_canonical)
+    changed = told != told.shift(fill_value=_canonical(last))
     run = changed.cumsum()
     tail = rows["confidence"][run == run.iloc[-1]].max()
     carried = not changed.any() and state.exists
