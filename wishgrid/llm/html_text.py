@@ -25,7 +25,7 @@ LEFT_OUT = frozenset(
     "button select textarea input menu dialog".split()
 )
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "title", "textarea", "noscript", "iframe", "template")
+CLOSING = frozenset("li td th tr dd dt option".split())
 #: Words in class, id or role that name an element which is not the article.
 NOISE = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent "
@@ -99,8 +99,12 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
             continue
         if name in EMPTY:
             continue
-        if name in ("p", "li", "td", "tr", "dd", "dt", "option") and name in open_tags[-4:]:
-            pop(len(open_tags) - 1 - open_tags[::-1].index(name))
+        if name in BLOCKS:  # closes an open paragraph, and an item or cell of its own kind
+            for k in range(len(open_tags) - 1, -1, -1):
+                if open_tags[k] == "p" or open_tags[k] == name and name in CLOSING:
+                    pop(k)
+                elif open_tags[k] in BLOCKS:
+                    break
         if (m[4] or m[7] or "").rstrip().endswith("/") and name not in BLOCKS:
             continue
         if noise_at == 1 << 30 and _is_noise(name, m[4] or m[7] or ""):

@@ -78,7 +78,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         out.append(None)
     new = {p for pieces, found in split.values() if None in found for p, i in zip(pieces, found, strict=True) if i is None}
     fresh = {p: older[p] for p in new if p in older}
-    stems = {p: p[:-1] for p in new if p not in fresh and p[-1] in ",." and (p[0] == " " or p[0].isalpha()) and p[1:-1].isalpha()}
+    stems = {p: p[:-1] for p in new if p and p not in fresh and p[-1] in ",." and (p[0] == " " or p[0].isalpha()) and p[1:-1].isalpha()}
     for p in {*stems.values(), ",", "."}:
         if p not in fresh and (own := known.get(p) or older.get(p)):
             fresh[p] = own
