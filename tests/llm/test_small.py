@@ -160,7 +160,7 @@ def test_html(spark):
     rows = [(1, "u", page), (2, "u", None), (2, "u", ""), (3, None, "plain words"), (4, "u", "<p>" + "x " * 200_000 + "</p><a href="), (5, "u", "<div>menu</div>" * 0 + "<ul><li><a>home</a></ul><p>" + "text " * 30 + "<p>tail")]
     table = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
     got = {(r.page_id, r.text, r.n_chars) for r in html_text.extract_text(table).collect()}
-    assert (1, "T & t\n\na bc d\n\ne f", 17) in got and (2, "", 0) in got and (3, "plain words", 11) in got
+    assert (1, "T & t\n\na bc d\n\ne f", 18) in got and (2, "", 0) in got and (3, "plain words", 11) in got
     assert {n for i, _, n in got if i == 4} == {399_999}
     assert (5, "text " * 29 + "text\n\ntail", 155) in got
     assert html_text.extract_text(table.limit(0)).count() == 0
