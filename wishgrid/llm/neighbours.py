@@ -15,7 +15,7 @@ from wishgrid.llm.common import send_package, written
 #: Vectors (chosen by hash) on which lists are fitted, lists at most, and vectors a list aims at.
 FIT_ROWS, MOST_LISTS, LIST_ROWS = 20_000, 1024, 400
 #: Lists probed by a query, at least and as a share of all lists.
-LEAST_PROBES, PROBE_SHARE = 24, 0.25
+LEAST_PROBES, PROBE_SHARE = 24, 0.6
 #: Dimensions of a column block, and how sure a test must be to abandon a candidate (in standard deviations).
 COLUMNS, EPSILON = 16, 2.1
 #: Vectors and queries that meet in one scan.
