@@ -126,10 +126,11 @@ def write_tokens(
 ) -> None:
     """documents(doc_id, text) -> files in ``path``; an end id closes every document; null texts are empty.
 
-    Documents are dealt by ranges of doc_id (nulls first; rows of one id by their text, so equal rows are alike) and
-    each task writes its range in order as rows of ``CHUNKS``: whole documents up to about ``chunk`` ids, their ids
-    and lengths, where the chunk starts in its part, and the payload of planes of ``BLOCK`` ids with the byte length
-    of each plane as index. Parquet holds the chunks, so Spark's commit covers lost tasks and any store will do.
+    Documents are dealt by ranges of doc_id (nulls first; rows of one id by hash of their text, then by text, so equal
+    rows are alike, and the bounds sampled for the ranges hold two numbers a row, never texts). Each task writes its
+    range in order as rows of ``CHUNKS``: whole documents up to about ``chunk`` ids, their ids and lengths, where the
+    chunk starts in its part, and the payload of planes of ``BLOCK`` ids with the byte length of each plane as index.
+    Parquet holds the chunks, so Spark's commit covers lost tasks and any store will do.
     A task holds one batch of texts and one chunk; a chunk holds more ids only if one document does.
     """
     send_package(docs.sparkSession)
@@ -165,8 +166,9 @@ def write_tokens(
         if ids:
             yield closed()
 
-    sorted_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", "text")
-    sorted_docs.sortWithinPartitions("doc_id", "text").mapInArrow(encoded, CHUNKS).write.parquet(path)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
+    dealt = keyed.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key", "text")
+    dealt.select("doc_id", "text").mapInArrow(encoded, CHUNKS).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
