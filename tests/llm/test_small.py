@@ -219,6 +219,21 @@ def test_tokens(spark, odd, none, bits, tmp_path):
     assert token_files.round_trip(odd).count() == 7 and token_files.round_trip(none).count() == 0
 
 
+def test_pieces_like_whole_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = token_files.default_tokenizer()
+    library = Tokenizer.from_file(path)
+    rng = np.random.default_rng(5)
+    letters = list("abcdeéßñÿÆıøɐλжы漢،0129'’.,-$@\u0301\u00a0\n ") + [" "] * 8
+    texts = ["".join(rng.choice(letters, rng.integers(1, 300))) for _ in range(400)]
+    texts += [" ".join(t.split()) for t in texts]
+    monkeypatch.setattr(token_files, "REMEMBERED", 500)
+    for k in range(0, len(texts), 50):
+        for t, got in zip(texts[k : k + 50], token_files.encode(texts[k : k + 50], path), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_planes():
     ids = np.random.default_rng(0).integers(0, 2**32, 1000, np.uint64).astype("<u4")
     for bits in (1, 8):

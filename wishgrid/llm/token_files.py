@@ -21,12 +21,17 @@ END_ID = 2
 #: Ids in a block that is transposed at once; ids after which a chunk is closed (with the document that fills it).
 BLOCK, CHUNK = 1 << 16, 1 << 18
 #: Encoded pieces that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 CHUNKS = (
     "part int, chunk int, start long, n_ids long, plane_bits int, block int, "
     "doc_ids array<long>, doc_lengths array<long>, plane_bytes array<int>, payload binary"
 )
+#: The first character behind the Latin letters.
+LATIN_END = "\u0250"
+#: Byte-level units: printable bytes stand for themselves, the others in order for the characters from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_UNITS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 _PAIRS = ("  ", "\n\n", " \n", "\n ", "\x00")
 _ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
@@ -34,6 +39,7 @@ _OTHER_SPACE = re.compile(r"[^\S \n]")
 assert array("I").itemsize == 4
 _tokenizers: dict[str, object] = {}
 _pieces: dict[str, list[dict[str, bytes]]] = {}
+_widths: dict[str, np.ndarray] = {}
 
 
 def default_tokenizer() -> str:
@@ -54,45 +60,73 @@ def encode(texts: list[str], path: str) -> list[bytes]:
 
     A byte-level BPE never joins what stands before a space or on either side of a line break, nor a letter with the
     comma or full stop behind it. Where white space is single spaces and line breaks, the pieces between are encoded
-    once and remembered, the last REMEMBERED of them and those that were used since. Any other text, and texts with a special token, are encoded whole.
+    once and remembered, the last REMEMBERED of them and those that were used since. New words of Latin letters, each one
+    unit of the pre-tokenizer, go to the model itself; other new words are encoded as one text.
+    Any other text, and texts with a special token, are encoded whole.
     """
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
+    if path not in _tokenizers:
         _tokenizers[path], _pieces[path] = Tokenizer.from_file(path), [{}, {}]
+        vocabulary = _tokenizers[path].get_vocab()
+        _widths[path] = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, number in vocabulary.items():
+            _widths[path][number] = len(token)  # byte-level: a character of the vocabulary stands for a byte
     tokenizer, (known, older) = _tokenizers[path], _pieces[path]
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def ids(some: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
-    out: list[bytes | None] = []
-    split: dict[int, tuple[list[str], list[bytes | None]]] = {}
+    model = tokenizer.model
+    direct = isinstance(tokenizer.pre_tokenizer, ByteLevel) and tokenizer.normalizer is None
+
+    def word(piece: str) -> bytes:
+        units = piece.encode().decode("latin-1").translate(BYTE_UNITS)
+        return array("I", [t.id for t in model.tokenize(units)]).tobytes()
+
+    def joined(pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that start with a space and a word, encoded as one text and cut by the bytes of its tokens."""
+        if not pieces:
+            return []
+        found = np.array(tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(p.encode()) for p in pieces])
+        reached = np.cumsum(_widths[path][found])
+        cuts = np.searchsorted(reached, ends)
+        if len(reached) == 0 or reached[-1] != ends[-1] or not np.array_equal(reached[cuts], ends):
+            return ids(pieces)
+        flat, cuts = found.tobytes(), [0, *(4 * cuts + 4).tolist()]
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    out: list[bytes] = []
+    split: dict[int, list[str]] = {}
     for k, text in enumerate(texts):
         if _odd(text) or any(s in text for s in special):
             out += ids([text])
             continue
-        pieces = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
-        split[k] = pieces, list(map(known.get, pieces))
-        out.append(None)
-    new = {p for pieces, found in split.values() if None in found for p, i in zip(pieces, found, strict=True) if i is None}
+        split[k] = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
+        out.append(b"")
+    new = set().union(*split.values()).difference(known)
     fresh = {p: older[p] for p in new if p in older}
     stems = {p: p[:-1] for p in new if p and p not in fresh and p[-1] in ",." and (p[0] == " " or p[0].isalpha()) and p[1:-1].isalpha()}
     for p in {*stems.values(), ",", "."}:
         if p not in fresh and (own := known.get(p) or older.get(p)):
             fresh[p] = own
     never = [p for p in {*new, *stems.values(), ",", "."} if p not in fresh and p not in stems]
-    fresh.update(zip(never, ids(never), strict=True))
+    if direct:
+        fresh.update((p, word(p)) for p in never if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) and max(p) < LATIN_END)
+    words = [p for p in never if p not in fresh and p[:1] == " " and len(p) > 1]
+    fresh.update(zip(words, joined(words), strict=True))
+    rest = [p for p in never if p not in fresh]
+    fresh.update(zip(rest, ids(rest), strict=True))
     fresh.update({p: fresh[stem] + fresh[p[-1]] for p, stem in stems.items()})
-    for k, (pieces, found) in split.items():
-        if None in found:
-            found = [fresh[p] if i is None else i for p, i in zip(pieces, found, strict=True)]
-        out[k] = b"".join(found)
-    if len(known) + len(fresh) > REMEMBERED:
-        _pieces[path] = [fresh, known]
-    else:
-        known.update(fresh)
+    known.update(fresh)
+    for k, pieces in split.items():
+        out[k] = b"".join(map(known.__getitem__, pieces))
+    if len(known) > REMEMBERED:
+        _pieces[path] = [{}, known]
     return out
 
 
