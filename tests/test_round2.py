@@ -3,6 +3,7 @@
 import pytest
 
 from wishgrid.operators import catalog, facts
+from wishgrid.plans.parse import parse_wishes
 
 
 def test_key_order_is_no_conflict(spark):
@@ -20,3 +21,16 @@ def test_curation_errors_stop_the_query(spark):
     gone = spark.createDataFrame([("nobody",)], "name string")
     with pytest.raises(Exception, match="curation errors"):
         catalog.apply_curation(entries, gone, none, rename).collect()
+
+
+def test_names_next_to_understood_spans(spark):
+    texts = ["однушку 10 минут от метро тушинская", "Руставели 14 до 21 млн", "двушка у метро Неведомская", None]
+    wishes = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    entries = spark.createDataFrame(
+        [(1, "metro", "Тушинская", "tushinskaya", "7", []), (2, "complex", "Руставели 14", "rustaveli", "8", [])],
+        "ord int, type string, name string, slug string, id string, aliases array<string>",
+    )
+    rows = {r.query_id: r for r in parse_wishes(wishes, 2026, entries).collect()}
+    assert [m.name for m in rows[0].metro] == ["Тушинская"] and not rows[0].unknown_stations
+    assert [m.name for m in rows[1].complexes] == ["Руставели 14"] and rows[1].price_min is None
+    assert len(rows[2].unknown_stations) == 1 and len(rows) == 4
