@@ -112,7 +112,7 @@ def _asking(spark, sf):
 )
 def f1_match_gazetteer(spark, sf):
     found = gz.match_gazetteer(_asking(spark, sf), _entries(spark, sf))
-    return gz.resolve_overlaps(found).where("score >= 100").select("query_id", "name")
+    return gz.resolve_overlaps(found).select("query_id", "name")
 
 
 @query(
@@ -202,7 +202,7 @@ def e21_entity_number_spans(spark, sf):
     entries = part.groupBy("label").agg(F.min("p_partkey").alias("ord")).selectExpr(
         "ord", "'complex' as type", "label as name", "cast(null as string) as slug", "cast(null as string) as id", "cast(array() as array<string>) as aliases"
     )
-    found = gz.resolve_overlaps(gz.match_gazetteer(asks, entries)).where("score >= 100")
+    found = gz.resolve_overlaps(gz.match_gazetteer(asks, entries))
     spans = gz.entity_number_spans(found, asks)
     return spans.selectExpr("query_id", "reserved[0].s as s", "reserved[0].e as e")
 
