@@ -124,6 +124,14 @@ def test_repeated_strings(spark, none, together):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("together", [20_000, 2])
+def test_short_runs_between_unique_texts(spark, together):
+    rng = random.Random(10)
+    texts = ["".join(rng.choices("abcde \n", k=150)) + c * n + "".join(rng.choices("abcde \n", k=150)) for c in "-=_*#.+~" for n in (150, 190)]
+    got = substring_dedup.remove_repeats(docs(spark, [(k, t, None, None) for k, t in enumerate(texts)]), together).collect()
+    assert sorted(tuple(r) for r in got) == [(k, *told) for k, told in enumerate(brute_repeats(texts))]
+
+
 def test_merge_sort_is_lexicographic():
     rng = np.random.default_rng(1)
     group, keys = rng.integers(0, 9, 500), rng.integers(-1, 3, (500, 12)).astype(np.int16)

@@ -173,7 +173,7 @@ def repeated_strings(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
     contexts of an anchor are equal, or a context is seen twice, its windows all repeat. What is left, contexts that
     differ from all others of their anchor (the ends of repeated passages), is fetched as bytes and suffix-sorted,
     anchor by anchor; an anchor with more than ``together`` contexts has the windows of its contexts counted by hash
-    instead, in all tasks. Intervals may overlap.
+    and place instead, in all tasks. Intervals may overlap.
     """
     send_package(docs.sparkSession)
     base = docs.select(F.xxhash64("doc_id", "text").alias("d"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("b")).where(F.length("b") >= LENGTH)
@@ -227,7 +227,9 @@ def repeated_strings(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
     crowd = contexts.where(f"contexts > {together}")
     if crowd.limit(1).count():
         windows = written(crowd.select("h", "d", "p", "single", "left", "right", "context").mapInArrow(_windows, "h long, d long, start long, single boolean, w long, v long"), "windows")
-        again = windows.groupBy("h", "w", "v").agg(F.count("*").alias("rows")).where("rows > 1").select("h", "w", "v")
+        # A window over two anchors of one hash is listed for each: only different places count.
+        place = F.xxhash64("d", "start")
+        again = windows.groupBy("h", "w", "v").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("h", "w", "v")
         hits = windows.where("single").join(again, ["h", "w", "v"])
         edges = edges.union(hits.select("d", "start", (F.col("start") + LENGTH).alias("end")))
     reach = whole.select("d", F.greatest(F.col("p") - REACH, F.lit(0)).cast("long").alias("start"), (F.col("p") + LENGTH).cast("long").alias("end"))
