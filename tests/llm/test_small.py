@@ -197,6 +197,26 @@ def test_near_duplicates(spark, odd, none):
     assert order_minhash.near_duplicates(none).count() == 0
 
 
+def test_crowded_buckets_compare_on_all_bands(spark, monkeypatch):
+    words = [f"q{k}" for k in range(400)]
+    hashes = np.array([r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.hash("w").alias("h")).collect()])
+    rng, late = np.random.default_rng(12), []
+    for _ in range(20_000):
+        own = rng.integers(0, 400, 50)
+        other = own.copy()
+        other[25] = (own[25] + 1) % 400
+        x, y = (order_minhash.shingles(hashes[v]) for v in (own, other))
+        common = np.flatnonzero(order_minhash.band_keys(x) == order_minhash.band_keys(y))
+        if len(common) and common[0] >= 14 and order_minhash.similarity(x, y) >= order_minhash.LEAST:
+            late.append((own, other))
+        if len(late) == 2:
+            break
+    assert len(late) == 2
+    monkeypatch.setattr(order_minhash, "STARS", 0)
+    rows = [(k, " ".join(words[w] for w in own), None, None) for k, own in enumerate(v for pair in late for v in pair)]
+    assert {(r.doc_id, r.class_id) for r in order_minhash.near_duplicates(docs(spark, rows), large=1).collect()} == {(0, 0), (1, 0), (2, 2), (3, 2)}
+
+
 def test_alignment_against_dynamic_programming():
     rng = np.random.default_rng(2)
     for _ in range(40):

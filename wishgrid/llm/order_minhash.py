@@ -21,9 +21,8 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS, PICKS = 20, 2, 2
 #: Times that the texts of a bucket meet a centre before the rest is compared.
 STARS = 3
-#: Buckets of more texts are compared inside tasks, in blocks of this size, and only on the first bands: a pair of
-#: similarity 0.8 shares none of these in 0.0006 of cases.
-LARGE, BLOCK_TEXTS, CROWDED_BANDS = 16, 1024, 14
+#: Buckets of more texts are compared inside tasks, in blocks of this size.
+LARGE, BLOCK_TEXTS = 16, 1024
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.random.default_rng(20).integers(1, 2**63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -230,7 +229,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, large: int = LARGE, b
     right = left.select("k", F.col("id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("pc"))
     both = (left["k"] == right["k"]) & (left["id"] < right["b"]) & (left["comp"] != right["pc"]) & fits
     tested(left.join(right, both).select(F.col("id").alias("a"), "b"))
-    crowded = rest.where(f"rows > {large} AND band < {CROWDED_BANDS}")
+    crowded = rest.where(f"rows > {large}")
     links.append(written(_linked_in_blocks(crowded, words.join(texts.select("id", "keys"), "id"), least, block), "links"))
     comps = components(reduce(DataFrame.union, links))
     named = texts.select("id", "rep").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
