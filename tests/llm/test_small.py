@@ -174,6 +174,13 @@ def test_html(spark):
     assert html_text.extract_text(table.limit(0)).count() == 0
 
 
+def test_html_small_article():
+    text = "".join(f"<div><p>{'main text ' * 20}{k}</div>" for k in range(4))
+    blocks = html_text.main_blocks(f"<body>{text}<article><h2>teaser</h2></article></body>")
+    assert [b.split()[-1] for b in blocks][:4] == ["0", "1", "2", "3"]
+    assert html_text.main_blocks(f"<body><article>{text}</article><div>{'other ' * 30}</div></body>") == blocks[:4]
+
+
 def test_near_duplicates(spark, odd, none):
     rng = random.Random(4)
     words = [f"q{k}" for k in range(400)]

@@ -123,12 +123,15 @@ def main_blocks(html: str) -> list[str]:
     """Blocks of the main text in page order.
 
     Text lengths are summed over windows of lines; lines that are left out (menus, adverts, scripts and so on) count
-    as empty, and where the page has an article so does what lies outside; elsewhere lines that are mostly links do.
-    From a surge the text runs back and on to the dives, windows without text, and all lines between are kept.
+    as empty. Where the article holds at least half of the text outside links, so does what lies outside it, and all
+    of the article is kept; elsewhere lines outside an article that are mostly links count as empty, and from a surge
+    the text runs back and on to the dives, windows without text, and all lines between are kept.
     """
     found = lines(html)
-    article = any(a and t for t, _, a in found)
-    kept = [t if (a if article else 2 * n <= len(t)) else "" for t, n, a in found]
+    plain = [max(len(t) - n, 0) for t, n, _ in found]
+    inside = sum(n for n, (_, _, a) in zip(plain, found, strict=True) if a)
+    article = any(a and t for t, _, a in found) and 2 * inside >= sum(plain)
+    kept = [t if a or not article and 2 * n <= len(t) else "" for t, n, a in found]
     size = [len(t) for t in kept]
     sums = [sum(size[k : k + WINDOW]) for k in range(len(size))]
     surge = min(SURGE, max(sums, default=0) / 2)
