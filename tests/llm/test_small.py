@@ -181,6 +181,18 @@ def test_html_small_article():
     assert html_text.main_blocks(f"<body><article>{text}</article><div>{'other ' * 30}</div></body>") == blocks[:4]
 
 
+def test_html_short_blocks():
+    long = "<div><div><p>" + "long text " * 20 + "</p></div></div>"
+    own = "".join(f"<div><div><p>short {k}</p></div></div>" for k in range(3))
+    rows = "<table>" + "".join(f"<tr>\n <td>cell {k}</td>\n</tr>" for k in range(3)) + "</table>"
+    menu = "<nav><ul>" + "<li><a href='/'>go</a></li>" * 6 + "</ul></nav>"
+    want = ["short 0", "short 1", "short 2", "cell 0", "cell 1", "cell 2"]
+    for page in (long + own + rows + long, long + menu + own + rows + menu + long):
+        blocks = html_text.main_blocks(f"<body>{page}</body>")
+        assert blocks[1:-1] == want and blocks[0] == blocks[-1] == ("long text " * 20).strip()
+    assert html_text.main_blocks(f"<body><p>top</p>{menu}{long}{menu}<p>end</p></body>") == [blocks[0]]
+
+
 def test_near_duplicates(spark, odd, none):
     rng = random.Random(4)
     words = [f"q{k}" for k in range(400)]

@@ -60,17 +60,21 @@ def _is_noise(name: str, attributes: str) -> bool:
 
 
 def lines(html: str) -> list[tuple[str, int, bool]]:
-    """Lines of the page without markup: text ('' for what is left out), characters inside links, in the article."""
+    """Lines of the page without markup: text, characters inside links, in the article.
+
+    A line without text is there only for what is left out, not for tags that follow each other.
+    """
     out: list[tuple[str, int, bool]] = []
     open_tags: list[str] = []
     noise_at = article_at = 1 << 30
-    links, pieces, linked, at = 0, [], 0, 0
+    links, pieces, linked, at, left_out = 0, [], 0, 0, False
 
     def flush() -> None:
-        nonlocal pieces, linked
+        nonlocal pieces, linked, left_out
         text = " ".join(unescape("".join(pieces)).split())
-        out.append((text, linked, article_at < 1 << 30))
-        pieces, linked = [], 0
+        if text or left_out:
+            out.append((text, linked, article_at < 1 << 30))
+        pieces, linked, left_out = [], 0, False
 
     def pop(to: int) -> None:
         nonlocal noise_at, article_at, links
@@ -83,6 +87,8 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
         if m.start() > at and noise_at == 1 << 30:
             pieces.append(html[at : m.start()])
             linked += (m.start() - at) * (links > 0)
+        elif m.start() > at:
+            left_out = left_out or not html[at : m.start()].isspace()
         at = m.end()
         name = (m[3] or m[6] or "").lower()
         if not name:
@@ -125,7 +131,8 @@ def main_blocks(html: str) -> list[str]:
     Text lengths are summed over windows of lines; lines that are left out (menus, adverts, scripts and so on) count
     as empty. Where the article holds at least half of the text outside links, so does what lies outside it, and all
     of the article is kept; elsewhere lines outside an article that are mostly links count as empty, and from a surge
-    the text runs back and on to the dives, windows without text, and all lines between are kept.
+    the text runs back and on to the dives, windows without text, and all lines between are kept, as are those
+    between two surges.
     """
     found = lines(html)
     plain = [max(len(t) - n, 0) for t, n, _ in found]
@@ -137,6 +144,7 @@ def main_blocks(html: str) -> list[str]:
     surge = min(SURGE, max(sums, default=0) / 2)
     blocks: list[str] = []
     region: list[str] = []
+    waiting: list[str] = []
     surged, empty = False, 0
     for text, total in zip([*kept, *[""] * WINDOW], [*sums, *[0] * WINDOW], strict=True):
         if text:
@@ -147,10 +155,11 @@ def main_blocks(html: str) -> list[str]:
         surged = surged or bool(region) and total > 0 and total >= surge
         if empty >= WINDOW and region:
             if surged or article:
-                blocks += region
+                blocks += waiting + region
+                waiting = []
+            elif blocks:
+                waiting += region
             region, surged = [], False
-    if region and (surged or article):
-        blocks += region
     return blocks
 
 
