@@ -193,6 +193,19 @@ def test_html_short_blocks():
     assert html_text.main_blocks(f"<body><p>top</p>{menu}{long}{menu}<p>end</p></body>") == [blocks[0]]
 
 
+@pytest.mark.parametrize("start, end", [
+    ("<main class='content has-sidebar'>", "</main>"), ("<article class='post no-comments'>", "</article>"), ("<div id='page' class='with-header'>", "</div>"),
+    ("<form action='/'><input>", "</form>"), ("<div title='The hidden coast'>", "</div>"), ("<div class='widget'><main>", "</main></div>"), ("<article id='comments'>", "</article>"),
+    ("<div class='social'>", "</div>"), ("<div class='social'><form><div>", "</div></form></div>"),
+])
+def test_html_wrapped_text(start, end):
+    text = "".join(f"<p>{'text ' * 20}{k}</p>" for k in range(3))
+    want = [f"{'text ' * 20}{k}" for k in range(3)]
+    page = f"<body>{start}{text}{end}<div class='sidebar ad'>buy</div><div hidden>not shown</div><div style='display: none'>nor this</div><form>search <input></form></body>"
+    assert html_text.main_blocks(page) == want
+    assert html_text.main_blocks("<div class='ad'>buy this and that</div><article><p>short</article>") == ["short"]
+
+
 def test_near_duplicates(spark, odd, none):
     rng = random.Random(4)
     words = [f"q{k}" for k in range(400)]

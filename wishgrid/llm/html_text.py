@@ -21,12 +21,12 @@ BLOCKS = frozenset(
     "summary table tbody td tfoot th thead tr ul".split()
 )
 LEFT_OUT = frozenset(
-    "head script style noscript template title iframe object svg canvas audio video nav header footer aside form "
+    "head script style noscript template title iframe object svg canvas audio video nav header footer aside "
     "button select textarea input menu dialog".split()
 )
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSING = frozenset("li td th tr dd dt option".split())
-#: Words in class, id or role that name an element which is not the article.
+#: Whole names in class, id or role of an element which is not the article, unless it holds most of the page's text.
 NOISE = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent "
     "cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices notification "
@@ -43,50 +43,66 @@ _TOKEN = re.compile(
     r"|<[a-zA-Z/!?][^>]*\Z",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-_WORD = re.compile(r"[a-zA-Z]+")
+_ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 
 
-def _is_noise(name: str, attributes: str) -> bool:
+def _noise(name: str, attributes: str) -> int:
+    """2: left out in any case, 1: left out unless it holds most of the page's text, 0: kept."""
     if name in LEFT_OUT:
-        return True
-    if not attributes or name in ("html", "body"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    words = (w.lower() for m in _NAMES.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or ""))
-    return any(w in NOISE for w in words)
+        return 2
+    if not attributes and name != "form" or name in ("html", "body"):
+        return 0
+    own: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        own.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true" or _NOT_SHOWN.search(own.get("style", "")):
+        return 2
+    if name in ("article", "main"):
+        return 0
+    words = (w for key in ("class", "id", "role") for w in own.get(key, "").lower().split())
+    return int(name == "form" or any(w in NOISE for w in words))
 
 
 def lines(html: str) -> list[tuple[str, int, bool]]:
     """Lines of the page without markup: text, characters inside links, in the article.
 
-    A line without text is there only for what is left out, not for tags that follow each other.
+    A line without text is there only for what is left out, not for tags that follow each other. Forms and elements
+    left out by name stay if they hold <main> or at least half of the text outside links and other left-out elements;
+    beside an article with text, half is not enough if it would not make a surge.
     """
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[list[tuple[str, int, int]], bool, bool]] = []
     open_tags: list[str] = []
+    doubtful: list[tuple[int, int]] = []  # depth and number of the open elements that are left out by name or as forms
+    outer, weight, holds_main = [-1], [0], [True]  # by number; 0 is the page
     noise_at = article_at = 1 << 30
-    links, pieces, linked, at, left_out = 0, [], 0, 0, False
+    links, pieces, at, left_out, article = 0, [], 0, False, False
 
     def flush() -> None:
-        nonlocal pieces, linked, left_out
-        text = " ".join(unescape("".join(pieces)).split())
-        if text or left_out:
-            out.append((text, linked, article_at < 1 << 30))
-        pieces, linked, left_out = [], 0, False
+        nonlocal pieces, left_out
+        if pieces or left_out:
+            out.append((pieces, left_out, article_at < 1 << 30))
+        pieces, left_out = [], False
+
+    def add(piece: str) -> None:
+        nonlocal article
+        k = doubtful[-1][1] if doubtful else 0
+        pieces.append((piece, len(piece) * (links > 0), k))
+        weight[k] += len(piece.strip()) * (links == 0)
+        article = article or k == 0 and article_at < 1 << 30 and not piece.isspace()
 
     def pop(to: int) -> None:
         nonlocal noise_at, article_at, links
         links -= open_tags[to:].count("a")
         del open_tags[to:]
+        while doubtful and doubtful[-1][0] >= to:
+            doubtful.pop()
         noise_at = noise_at if noise_at < to else 1 << 30
         article_at = article_at if article_at < to else 1 << 30
 
     for m in _TOKEN.finditer(html):
         if m.start() > at and noise_at == 1 << 30:
-            pieces.append(html[at : m.start()])
-            linked += (m.start() - at) * (links > 0)
+            add(html[at : m.start()])
         elif m.start() > at:
             left_out = left_out or not html[at : m.start()].isspace()
         at = m.end()
@@ -96,7 +112,7 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
         if name in BLOCKS:
             flush()
         elif name == "br":
-            pieces.append(" ")
+            pieces.append((" ", 0, doubtful[-1][1] if doubtful else 0))
         if m[2] or m[5]:
             for k in range(len(open_tags) - 1, -1, -1):
                 if open_tags[k] == name:
@@ -113,16 +129,35 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
                     break
         if (m[4] or m[7] or "").rstrip().endswith("/") and name not in BLOCKS:
             continue
-        if noise_at == 1 << 30 and _is_noise(name, m[4] or m[7] or ""):
+        noise = _noise(name, m[4] or m[7] or "") if noise_at == 1 << 30 else 0
+        if noise == 2:
             noise_at = len(open_tags)
+        elif noise == 1:
+            outer.append(doubtful[-1][1] if doubtful else 0)
+            weight.append(0)
+            holds_main.append(False)
+            doubtful.append((len(open_tags), len(outer) - 1))
+        elif name == "main" and noise_at == 1 << 30 and doubtful:
+            holds_main[doubtful[-1][1]] = True
         if article_at == 1 << 30 and name in ("article", "main") and noise_at == 1 << 30:
             article_at = len(open_tags)
         links += name == "a"
         open_tags.append(name)
     if noise_at == 1 << 30:
-        pieces.append(html[at:])
+        add(html[at:])
     flush()
-    return out
+    for k in range(len(outer) - 1, 0, -1):
+        weight[outer[k]] += weight[k]
+        holds_main[outer[k]] |= holds_main[k]
+    stays = [True]
+    for k in range(1, len(outer)):
+        stays.append(stays[outer[k]] and (holds_main[k] or weight[k] >= max(weight[0] / 2, SURGE if article else 1)))
+    told = []
+    for own, gone, inside in out:
+        text = " ".join(unescape("".join(p for p, _, k in own if stays[k])).split())
+        if text or gone or any(not stays[k] and p.strip() for p, _, k in own):
+            told.append((text, sum(n for _, n, k in own if stays[k]), inside))
+    return told
 
 
 def main_blocks(html: str) -> list[str]:
