@@ -59,6 +59,18 @@ def test_mix(spark, odd, none):
     assert mixing.emit_copies(many, mixed).count() == mixed.agg(F.sum("copies")).first()[0]
 
 
+def test_copies_of_rows_with_null_and_repeated_ids(spark):
+    rows = [(None if k % 2 else k % 10, f"w{k // 3} " * (k % 7 + 1), "en", f"s{k % 3}" if k % 4 else None) for k in range(300)]
+    table = docs(spark, rows + rows[:20])
+    mixed = mixing.mix_sources(table).localCheckpoint()
+    taken = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    got = mixing.emit_copies(table, mixed).collect()
+    assert collections.Counter(r.source for r in got) == taken
+    words = {r.source: (r.n, r.target) for r in mixed.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("n"), F.first("target").alias("target")).collect()}
+    for source, (n, target) in words.items():
+        assert sum(len(r.text.split()) for r in got if r.source == source) == n and abs(n - target) <= 8
+
+
 def brute_hits(text, items, window=13):
     words = decontaminate_words(text)
     hit, found = set(), set()

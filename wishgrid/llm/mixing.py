@@ -18,6 +18,11 @@ def _hash32(value: Column) -> Column:
     return F.conv(F.substring(F.md5(value), 1, 8), 16, 10).cast("long")
 
 
+def _row_key() -> Column:
+    """Hash of doc_id, text and source, in which a null is a value."""
+    return F.xxhash64(*(c for name in ("doc_id", "text", "source") for c in (F.col(name), F.col(name).isNull())))
+
+
 def source_targets(sizes: DataFrame, weights: list[float], share: float, cap: float) -> DataFrame:
     """sizes(source, source_size) -> with target and rate, by water filling.
 
@@ -54,7 +59,7 @@ def mix_sources(
     seed: str = "mix",
     part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """documents(doc_id, text, source) -> doc_id, source, size, source_size, target, copies.
+    """documents(doc_id, text, source) -> doc_id, row (its key), source, size, source_size, target, copies.
 
     Systematic sampling: a document of a source is expected ``target / source_size`` times; these expectations are
     summed along the source, one random offset per source is added, and a copy is emitted for each whole number that
@@ -68,7 +73,7 @@ def mix_sources(
     Null and empty texts have size 0 and are taken like others; null sources are a source of their own; repeated rows
     are each a document; equal ids in a cell are interchangeable, being of one size. No rows give no rows.
     """
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
+    base = docs.select("doc_id", _row_key().alias("row"), "source", word_count(F.col("text")).alias("size"), _hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
     counts = base.groupBy("source", "size").agg(F.count("*").alias("rows"))
     sizes = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
     targets = source_targets(sizes, list(weights), share, cap).withColumn(
@@ -87,7 +92,7 @@ def mix_sources(
     ranked = _join(told.withColumn("place", F.row_number().over(cell)), cells, ["source", "size", "part"])
     ranked = _join(ranked, targets, ["source"]).withColumn("rank", F.col("smaller") + F.col("lower") + F.col("place"))
     copies = F.floor(F.col("rank") * F.col("rate") + F.col("u")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("u"))
-    return ranked.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return ranked.select("doc_id", "row", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,10 +102,18 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def emit_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Every document as often as the mix takes it; rows of one doc_id share the largest of its numbers of copies."""
-    copies = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    """Every row as often as the mix takes it, by the row's key.
+
+    Rows equal in doc_id, text and source have one key; being of one rate, they differ by one copy at most, so their
+    copies are shared out evenly again. The number among equal rows and the join need one shuffle by that key.
+    """
+    copies = mixed.groupBy(F.col("row").alias("_row")).agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows")).where("_all > 0")
+    number = F.row_number().over(Window.partitionBy("_row").orderBy("doc_id"))
+    own = docs.withColumn("_row", _row_key()).withColumn("_number", number)
     return (
-        docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
+        own.join(copies, "_row")
+        .withColumn("_copies", F.expr("_all div _rows + int(_number <= _all % _rows)"))
+        .where("_copies > 0")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        .select(*(docs[c] for c in docs.columns))
+        .select(*docs.columns)
     )
