@@ -15,6 +15,9 @@ from wishgrid.llm.neighbours import nearest_neighbours
 from wishgrid.llm.order_minhash import near_duplicates
 from wishgrid.llm.substring_dedup import remove_repeats
 from wishgrid.llm.token_files import round_trip
+from wishgrid.llm.toxicity import fit as fit_toxicity
+from wishgrid.llm.toxicity import held_out as toxicity_held_out
+from wishgrid.llm.toxicity import toxicity
 from wishgrid.llm.url_filter import judge_urls
 
 #: Fixed values of the URL rules.
@@ -85,6 +88,13 @@ def op10_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return nearest_neighbours(_table(spark, sf, "embeddings"))
 
 
+def op13_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    scored = toxicity(docs.select("doc_id", "text"), fit_toxicity(docs, _table(spark, sf, "labels")))
+    held = toxicity_held_out(F.col("doc_id")).alias("held_out")
+    return scored.select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mix_sources": op2_mix_sources,
@@ -96,6 +106,7 @@ QUERIES = {
     "op8_order_minhash": op8_order_minhash,
     "op9_token_files": op9_token_files,
     "op10_neighbours": op10_neighbours,
+    "op13_toxicity": op13_toxicity,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
