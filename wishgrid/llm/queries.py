@@ -13,6 +13,7 @@ from wishgrid.llm.line_dedup import repeated_units
 from wishgrid.llm.mixing import mix_sources
 from wishgrid.llm.neighbours import nearest_neighbours
 from wishgrid.llm.order_minhash import near_duplicates
+from wishgrid.llm.spelling import spelling_variants
 from wishgrid.llm.substring_dedup import remove_repeats
 from wishgrid.llm.token_files import round_trip
 from wishgrid.llm.toxicity import fit as fit_toxicity
@@ -88,6 +89,10 @@ def op10_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return nearest_neighbours(_table(spark, sf, "embeddings"))
 
 
+def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     scored = toxicity(docs.select("doc_id", "text"), fit_toxicity(docs, _table(spark, sf, "labels")))
@@ -106,6 +111,7 @@ QUERIES = {
     "op8_order_minhash": op8_order_minhash,
     "op9_token_files": op9_token_files,
     "op10_neighbours": op10_neighbours,
+    "op12_spelling": op12_spelling,
     "op13_toxicity": op13_toxicity,
 }
 
