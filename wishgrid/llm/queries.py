@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wishgrid.llm.common import joined_names
+from wishgrid.llm.conversations import repaired_conversations
 from wishgrid.llm.decontaminate import contaminated, contamination
 from wishgrid.llm.html_text import extract_text
 from wishgrid.llm.langid import fit, held_out, identify
@@ -89,6 +90,10 @@ def op10_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return nearest_neighbours(_table(spark, sf, "embeddings"))
 
 
+def op11_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    return repaired_conversations(_table(spark, sf, "conversations"))
+
+
 def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
     return spelling_variants(_table(spark, sf, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
@@ -111,6 +116,7 @@ QUERIES = {
     "op8_order_minhash": op8_order_minhash,
     "op9_token_files": op9_token_files,
     "op10_neighbours": op10_neighbours,
+    "op11_conversations": op11_conversations,
     "op12_spelling": op12_spelling,
     "op13_toxicity": op13_toxicity,
 }
