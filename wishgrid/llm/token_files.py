@@ -32,6 +32,8 @@ LATIN_END = "\u0250"
 #: Byte-level units: printable bytes stand for themselves, the others in order for the characters from 256 on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_UNITS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+SPACE_UNIT = chr(BYTE_UNITS[32])
+LATIN_UNITS = {c: c.encode().decode("latin-1").translate(BYTE_UNITS) for c in map(chr, range(ord(LATIN_END)))}
 
 _PAIRS = ("  ", "\n\n", " \n", "\n ", "\x00")
 _ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
@@ -40,6 +42,8 @@ assert array("I").itemsize == 4
 _tokenizers: dict[str, object] = {}
 _pieces: dict[str, list[dict[str, bytes]]] = {}
 _widths: dict[str, np.ndarray] = {}
+_packed: dict[str, list[bytes]] = {}
+_TAILS = (",", ".")
 
 
 def default_tokenizer() -> str:
@@ -61,7 +65,8 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     A byte-level BPE never joins what stands before a space or on either side of a line break, nor a letter with the
     comma or full stop behind it. Where white space is single spaces and line breaks, the pieces between are encoded
     once and remembered, the last REMEMBERED of them and those that were used since. New words of Latin letters, each one
-    unit of the pre-tokenizer, go to the model itself; other new words are encoded as one text.
+    unit of the pre-tokenizer, go to the model itself, with a comma or full stop behind them set off; other new words are
+    encoded as one text.
     Any other text, and texts with a special token, are encoded whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,6 +77,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         _tokenizers[path], _pieces[path] = Tokenizer.from_file(path), [{}, {}]
         vocabulary = _tokenizers[path].get_vocab()
         _widths[path] = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        _packed[path] = [array("I", [n]).tobytes() for n in range(len(_widths[path]))]
         for token, number in vocabulary.items():
             _widths[path][number] = len(token)  # byte-level: a character of the vocabulary stands for a byte
     tokenizer, (known, older) = _tokenizers[path], _pieces[path]
@@ -83,10 +89,6 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     model = tokenizer.model
     direct = isinstance(tokenizer.pre_tokenizer, ByteLevel) and tokenizer.normalizer is None
 
-    def word(piece: str) -> bytes:
-        units = piece.encode().decode("latin-1").translate(BYTE_UNITS)
-        return array("I", [t.id for t in model.tokenize(units)]).tobytes()
-
     def joined(pieces: list[str]) -> list[bytes]:
         """Ids of pieces that start with a space and a word, encoded as one text and cut by the bytes of its tokens."""
         if not pieces:
@@ -108,21 +110,32 @@ def encode(texts: list[str], path: str) -> list[bytes]:
             continue
         split[k] = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
         out.append(b"")
-    new = set().union(*split.values()).difference(known)
-    fresh = {p: older[p] for p in new if p in older}
-    stems = {p: p[:-1] for p in new if p and p not in fresh and p[-1] in ",." and (p[0] == " " or p[0].isalpha()) and p[1:-1].isalpha()}
-    for p in {*stems.values(), ",", "."}:
-        if p not in fresh and (own := known.get(p) or older.get(p)):
-            fresh[p] = own
-    never = [p for p in {*new, *stems.values(), ",", "."} if p not in fresh and p not in stems]
-    if direct:
-        fresh.update((p, word(p)) for p in never if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) and max(p) < LATIN_END)
-    words = [p for p in never if p not in fresh and p[:1] == " " and len(p) > 1]
-    fresh.update(zip(words, joined(words), strict=True))
-    rest = [p for p in never if p not in fresh]
-    fresh.update(zip(rest, ids(rest), strict=True))
-    fresh.update({p: fresh[stem] + fresh[p[-1]] for p, stem in stems.items()})
-    known.update(fresh)
+    if any(split.values()):
+        known.update(zip(",.", ids([",", "."]), strict=True))
+    tokenize, packed, rest = model.tokenize, _packed[path], []
+    for p in set().union(*split.values()).difference(known):
+        own = older.get(p)
+        if own is None:
+            stem, tail = (p[:-1], p[-1]) if p[-1:] in _TAILS else (p, "")
+            space = stem[:1] == " "
+            body = stem[1:] if space else stem
+            plain = body.isascii()
+            if not (direct and body.isalpha() and (plain or max(body) < LATIN_END)):
+                rest.append(p)
+                continue
+            own = (known.get(stem) or older.get(stem)) if tail else None
+            if own is None:
+                units = body if plain else "".join([LATIN_UNITS[c] for c in body])
+                own = b"".join([packed[t.id] for t in tokenize(SPACE_UNIT + units if space else units)])
+                if tail:
+                    known[stem] = own
+            if tail:
+                own += known[tail]
+        known[p] = own
+    words = [p for p in rest if p[:1] == " " and len(p) > 1]
+    known.update(zip(words, joined(words), strict=True))
+    others = [p for p in rest if p not in known]
+    known.update(zip(others, ids(others), strict=True))
     for k, pieces in split.items():
         out[k] = b"".join(map(known.__getitem__, pieces))
     if len(known) > REMEMBERED:
@@ -165,8 +178,12 @@ def write_tokens(
     range in order as rows of ``CHUNKS``: whole documents up to about ``chunk`` ids, their ids and lengths, where the
     chunk starts in its part, and the payload of planes of ``BLOCK`` ids with the byte length of each plane as index.
     Parquet holds the chunks, so Spark's commit covers lost tasks and any store will do.
-    A task holds one batch of texts and one chunk; a chunk holds more ids only if one document does.
+    A task holds one batch of texts and one chunk; a chunk holds more ids only if one document does, and a very long text
+    takes about 100 bytes a word while it is encoded. Other columns take no part; no rows give no files but Spark's own.
+    Ids must be whole numbers: any other type is an error, since the files hold them as 64-bit numbers.
     """
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long", "void"):
+        raise ValueError("doc_id must be a whole number")
     send_package(docs.sparkSession)
     model = tokenizer or default_tokenizer()
     planes = {1: 32, 8: 4}[plane_bits]
