@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Units of fewer words are never removed.
-LEAST_WORDS = 5
+from wishgrid.llm.common import written
+
 #: What separates lines or paragraphs.
 SEPARATORS = {"line": r"\n", "paragraph": r"\n\n"}
 
 
 def _normal(unit: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(unit), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(unit), r"[\x09-\x0D\x85\p{Z}]+", " "))
 
 
-def unit_table(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, key (hash of the text), pos, len (characters), digest (null for units of fewer words)."""
+def unit_table(docs: DataFrame, unit: str = "line", least_words: int = 1) -> DataFrame:
+    """doc_id, key (hash of the text), pos, len (characters), digest (null for empty units and those of fewer words)."""
     gap = SEPARATORS[unit]
     exploded = docs.where("text IS NOT NULL").select(
         "doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split("text", gap)).alias("pos", "unit")
@@ -28,17 +28,19 @@ def unit_table(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WOR
     )
 
 
-def repeated_units(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated_units(docs: DataFrame, unit: str = "line", least_words: int = 1) -> DataFrame:
     """documents(doc_id, text) -> doc_id, key, n_units, n_removed, chars_removed, spans, one row per row of ``docs``.
 
     A unit is a line (or paragraph); normalised it is lower-cased with white space made one space. Of equal units the
-    first by (doc_id, place) stays, nulls first, and all others go, also within a document. ``spans`` has the removed
-    units in the original text: start (from 0, in characters) and length, neighbours not joined. Units of fewer words
-    than ``least_words`` and empty ones stay. Null and empty texts have 0 units and 1; rows that repeat both doc_id
-    and text are one document that keeps the same units in each row.
+    first by (doc_id, place) stays, nulls first, and all others go, also within a document, however short they are.
+    ``spans`` has the removed units in the original text: start (from 0, in characters) and length, neighbours not
+    joined. Blank units stay; ``least_words`` above 1 keeps units of fewer words too. Null and empty texts have 0 units
+    and 1; rows that repeat both doc_id and text are one document that keeps the same units in each row. Other columns
+    take no part.
 
-    Digests are counted with map-side sums and only repeated ones meet their units again, by a join that can split a
-    hot digest; units come together per document only, for the running offset.
+    Digests are counted with map-side sums, and the repeated ones are written as a table: so the join that brings them
+    back to their units has two plain sides, and a hot digest can be split by Spark at run time. Blank units have no
+    digest and take no part in that join. Units come together per document only, for the running offset.
     """
     gap = len(SEPARATORS[unit]) // 2
     units = unit_table(docs, unit, least_words)
@@ -49,10 +51,12 @@ def repeated_units(docs: DataFrame, unit: str = "line", least_words: int = LEAST
         .where("rows > 1")
         .select("digest", "first")
     )
+    firsts = written(firsts, "repeated-lines")
     own = F.struct("doc_id", "key", "pos")
     gone = F.col("first").isNotNull() & ~own.eqNullSafe(F.col("first"))
-    placed = units.join(firsts, "digest", "left").select("doc_id", "key", "pos", "len", gone.alias("gone"))
-    placed = placed.groupBy("doc_id", "key", "pos").agg(F.first("len").alias("len"), F.first("gone").alias("gone"))
+    told = units.where("digest IS NOT NULL").join(firsts, "digest", "left").select("doc_id", "key", "pos", "len", gone.alias("gone"))
+    blank = units.where("digest IS NULL").select("doc_id", "key", "pos", "len", F.lit(False).alias("gone"))
+    placed = told.unionByName(blank).groupBy("doc_id", "key", "pos").agg(F.first("len").alias("len"), F.first("gone").alias("gone"))
     before = Window.partitionBy("doc_id", "key").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     offset = placed.withColumn("start", F.coalesce(F.sum(F.col("len") + gap).over(before), F.lit(0)))
     span = F.when(F.col("gone"), F.struct(F.col("start").cast("long").alias("start"), F.col("len").cast("long").alias("len")))

@@ -200,11 +200,11 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)
 OP5_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS u FROM documents),
 units AS (
-  SELECT r, doc_id, i - 1 AS pos, u[i] AS unit, trim(regexp_replace(lower(u[i]), '\\s+', ' ', 'g')) AS norm
+  SELECT r, doc_id, i - 1 AS pos, u[i] AS unit, trim(regexp_replace(lower(u[i]), '[\\x09-\\x0D\\x85\\p{Z}]+', ' ', 'g')) AS norm
   FROM (SELECT r, doc_id, u, unnest(range(1, len(u) + 1)) AS i FROM d)),
 marked AS (
   SELECT *, sum(length(unit) + 1) OVER (PARTITION BY r ORDER BY pos) - length(unit) - 1 AS start,
-         length(norm) - length(replace(norm, ' ', '')) >= 4 AS enough,
+         norm <> '' AS enough,
          row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS FIRST, pos) AS k
   FROM units),
 sums AS (
