@@ -139,3 +139,94 @@ def similarity(a: Column, b: Column, masks: Column | None = None) -> Column:
 
 def token_sort(text: Column) -> Column:
     return F.array_join(F.array_sort(F.split(text, " ")), " ")
+
+
+# --- scores of names that contain each other ----------------------------------------------------
+
+#: Weights of the composite score, and the ratios of lengths at which they change.
+SORTED_WEIGHT = 0.95
+PARTIAL_FROM, PARTIAL_WEIGHT = 1.5, 0.9
+FAR_FROM, FAR_WEIGHT = 8.0, 0.6
+
+
+def pieces(short: Column, long: Column) -> Column:
+    """All pieces of the longer text that are as long as the shorter one, or that its ends cut."""
+    n, m = F.length(short), F.length(long)
+    found = F.transform(
+        F.sequence(2 - n, m),
+        lambda at: F.substring(long, F.greatest(at, F.lit(1)), F.least(at + n - 1, m) - F.greatest(at, F.lit(1)) + 1),
+    )
+    return F.when((n > 0) & (m > 0), F.array_distinct(found)).otherwise(F.array())
+
+
+def best_ratios(asked: Column) -> Column:
+    """Best F2 per item of an array of ``struct<x, ys>``; one expression for all of them keeps plans small."""
+    return F.transform(
+        asked,
+        lambda q: F.coalesce(
+            let(F.struct(q["x"].alias("x"), q["ys"].alias("ys"), char_masks(q["x"]).alias("k")), lambda p: F.array_max(F.transform(p["ys"], lambda y: similarity(p["x"], y, p["k"])))),
+            F.lit(0.0),
+        ),
+    )
+
+
+def token_sets(a: Column, b: Column) -> Column:
+    """``struct<both, a, b>``: shared words and the rest of each side, each sorted and joined by spaces."""
+    x, y = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
+
+    def joined(words: Column) -> Column:
+        return F.array_join(F.array_sort(words), " ")
+
+    return F.struct(
+        joined(F.array_intersect(x, y)).alias("both"), joined(F.array_except(x, y)).alias("a"), joined(F.array_except(y, x)).alias("b")
+    )
+
+
+def token_set_ratio(sets: Column, ratio: Column) -> Column:
+    """F2 of the shared words against the shared words with either rest, whichever is best; 100 if one side is all shared.
+
+    ``ratio`` is F2 of the two rests.
+    """
+    both, a, b = (F.length(sets[k]) for k in ("both", "a", "b"))
+    gap = F.when(both > 0, F.lit(1)).otherwise(F.lit(0))
+    whole = (F.lit(200.0) * (both + gap) + ratio * (a + b)) / (2 * (both + gap) + a + b)
+    alone = F.lit(200.0) * both / (2 * both + 1 + F.least(a, b))
+    return F.when((both > 0) & ((a == 0) | (b == 0)), F.lit(100.0)).otherwise(F.when(both > 0, F.greatest(whole, alone)).otherwise(whole))
+
+
+def composite_score(a: Column, b: Column, ratio: Column) -> Column:
+    """The greatest of F2, F2 of the words sorted or taken as sets, and, if one text is much longer, F2 of its best piece.
+
+    Words count ``SORTED_WEIGHT``. From ``PARTIAL_FROM`` times the length pieces take the place of the whole words and count
+    ``PARTIAL_WEIGHT`` (``FAR_WEIGHT`` beyond ``FAR_FROM`` times); a shared word makes the pieces of sorted words equal.
+    """
+    none = F.array().cast("array<string>")
+
+    def asked(p: Column) -> Column:
+        swap, alike = F.length(p["a"]) <= F.length(p["b"]), p["times"] < PARTIAL_FROM
+        short, long = F.when(swap, p["a"]).otherwise(p["b"]), F.when(swap, p["b"]).otherwise(p["a"])
+        short_sorted, long_sorted = F.when(swap, p["sa"]).otherwise(p["sb"]), F.when(swap, p["sb"]).otherwise(p["sa"])
+        worded = p["sets"]["both"] != ""
+
+        def item(x: Column, ys: Column, needed: Column) -> Column:
+            return F.struct(x.alias("x"), F.when(needed, ys).otherwise(none).alias("ys"))
+
+        questions = F.array(
+            item(p["sa"], F.array(p["sb"]), alike),
+            item(p["sets"]["a"], F.array(p["sets"]["b"]), alike & (p["sets"]["a"] != "") & (p["sets"]["b"] != "")),
+            item(short, F.when(F.contains(long, short), F.array(short)).otherwise(pieces(short, long)), ~alike),
+            item(short_sorted, F.when(worded, F.array(short_sorted)).otherwise(pieces(short_sorted, long_sorted)), ~alike),
+        )
+        return let(best_ratios(questions), lambda r: scored(p, r))
+
+    def scored(p: Column, r: Column) -> Column:
+        words = F.greatest(r[0], token_set_ratio(p["sets"], r[1])) * SORTED_WEIGHT
+        weight = F.when(p["times"] <= FAR_FROM, F.lit(PARTIAL_WEIGHT)).otherwise(F.lit(FAR_WEIGHT))
+        contained = F.greatest(r[2], r[3] * SORTED_WEIGHT) * weight
+        return F.greatest(p["ratio"], F.when(p["times"] < PARTIAL_FROM, words).otherwise(contained))
+
+    bound = F.struct(
+        a.alias("a"), b.alias("b"), ratio.alias("ratio"), token_sort(a).alias("sa"), token_sort(b).alias("sb"), token_sets(a, b).alias("sets"),
+        (F.greatest(F.length(a), F.length(b)) / F.greatest(F.least(F.length(a), F.length(b)), F.lit(1))).alias("times"),
+    )
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).when(a == b, F.lit(100.0)).otherwise(let(bound, asked))

@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wishgrid.functions.spans import Rule, distance_m, lit, match_spans
-from wishgrid.functions.text import normalize_chars, normalize_key, similarity, token_sort
+from wishgrid.functions.spans import Rule, distance_m, let, lit, match_spans
+from wishgrid.functions.text import (
+    FAR_FROM,
+    FAR_WEIGHT,
+    LOOKALIKE_FROM,
+    LOOKALIKE_TO,
+    PARTIAL_FROM,
+    PARTIAL_WEIGHT,
+    SORTED_WEIGHT,
+    char_masks,
+    composite_score,
+    normalize_key,
+    similarity,
+    token_sort,
+)
 from wishgrid.operators.extract import landmark_windows, texts
 from wishgrid.operators.similar import similar_pairs
+from wishgrid.operators.skew import join_split
 from wishgrid.packs import russian as ru
 from wishgrid.session import through_table
 
@@ -21,11 +35,13 @@ TOP_RANGE = 5.0
 MARKER_BONUS = 10.0
 PREPOSITION_BONUS = 5.0
 TYPE_BONUS = {"county": 0.5, "district": 0.4, "metro": 0.3, "complex": 0.2, "options": 0.1, "option_groups": 0.0}
-SORTED_WEIGHT = 0.95
 TOKEN = r"[A-Za-zА-Яа-яЁё0-9]+(?:-[A-Za-zА-Яа-яЁё0-9]+)*"
 MAX_WINDOW = 5
 OPTION_HINTS = ["вид", "сануз", "пол", "балкон", "лоджи"]
 BARE_MARKERS = ["округ", "жк", "район", "районе", "метро", "м"]
+#: Words that may stand right before a name as its marker, and how far back a marker reaches.
+TRIGGER_WORDS = ["метро", "м", "район", "района", "районе", "округ", "округа", "округе", "юзао", "жк"]
+TRIGGER_TOKENS = 6
 BOUND_STOPS = [w for w in ru.STOP_WORDS if w not in ru.LOCATION_MARKERS]
 
 
@@ -42,49 +58,76 @@ def choices(entries: DataFrame) -> DataFrame:
 def text_windows(queries: DataFrame) -> DataFrame:
     """Candidate windows of one to five tokens, plus "adjective … and noun" ones.
 
-    Windows across a comma or semicolon, at the edge of stop words or made of them are left out.
-    Columns: ``query_id, seq, tokens, s, e, before, synthetic, window_text, a, clean``.
+    Windows across a comma or semicolon, at the edge of stop words or made of them are left out. Markers before a window
+    are looked up once per token, in the few tokens before it; a window carries what scoring needs and never its text.
+
+    Columns: ``query_id, seq, tokens, s, e, at`` (where the text before it ends), ``synthetic, window_text, a, clean, last``
+    (up to five tokens before), ``trigger`` (F4), ``types`` (types announced by a marker), ``dot_at, mark_at`` (where the
+    text first has a station marker).
     """
     tokens = queries.select("query_id", "text", F.expr(match_spans("text", Rule("t", TOKEN))).alias("t"))
+    tokens = tokens.where("size(t) > 0").withColumn("l", F.expr("transform(t, x -> lower(x.hit))"))
+    back = f"case when i > {TRIGGER_TOKENS} then t[i - {TRIGGER_TOKENS} - 1].e else 0 end"
+    near = f"substring(text, {back} + 1, x.s - ({back}))"
+    folded = f"translate(lower({{}}), '{LOOKALIKE_FROM}', '{LOOKALIKE_TO}')"
+    tokens = tokens.withColumn(
+        "g",
+        F.expr(
+            f"transform(t, (x, i) -> case when i > 0 and array_contains({texts(TRIGGER_WORDS)}, substring_index({folded.format('l[i - 1]')}, '-', -1))"
+            f" then {let(folded.format(near), 'bf', trigger_expr('bf', 'x.s'))} end)"
+        ),
+    ).withColumn("dot_at", F.expr("instr(lower(text), 'м.')")).withColumn("mark_at", F.expr(marker_end("text")))
     plain = (
         f"flatten(transform(sequence(1, {MAX_WINDOW}), n -> case when n > size(t) then array() else transform(sequence(0, size(t) - n),"
-        " i -> named_struct('tokens', transform(slice(t, i + 1, n), x -> x.hit), 's', t[i].s, 'e', t[i + n - 1].e, 'b', t[i].s, 'syn', false)) end))"
+        " i -> named_struct('low', slice(l, i + 1, n), 'hits', transform(slice(t, i + 1, n), x -> x.hit), 's', t[i].s, 'e', t[i + n - 1].e, 'i', i, 'syn', false)) end))"
     )
     joined = (
         "flatten(transform(array(1, 2), n -> transform(filter(sequence(0, size(t)), i -> i >= 2 and i + 1 < size(t) and i - 1 - n >= 0"
-        " and lower(t[i].hit) in ('и', 'или')), i -> named_struct('tokens', concat(transform(slice(t, i - n, n), x -> x.hit),"
-        " array(t[i + 1].hit)), 's', t[i + 1].s, 'e', t[i + 1].e, 'b', t[i - 1 - n].s, 'syn', true))))"
+        " and l[i] in ('и', 'или')), i -> named_struct('low', concat(slice(l, i - n, n), array(l[i + 1])), 'hits', concat(transform(slice(t, i - n, n), x -> x.hit),"
+        " array(t[i + 1].hit)), 's', t[i + 1].s, 'e', t[i + 1].e, 'i', i - 1 - n, 'syn', true))))"
     )
-    rows = tokens.select("query_id", "text", F.posexplode_outer(F.expr(f"concat({plain}, {joined})")).alias("seq", "w")).where("w is not null")
-    low = "transform(w.tokens, x -> lower(x))"
     stop, edge = texts(ru.STOP_WORDS), texts(BOUND_STOPS)
-    rows = rows.withColumn("low", F.expr(low)).where(
-        f"not forall(low, x -> array_contains({stop}, x)) and not array_contains({edge}, low[0])"
-        f" and not array_contains({edge}, element_at(low, -1))"
-        " and not rlike(substring(text, w.s + 1, w.e - w.s), '[,;]')"
+    usable = (
+        f"not array_contains({edge}, w.low[0]) and not array_contains({edge}, element_at(w.low, -1))"
+        f" and not forall(w.low, x -> array_contains({stop}, x)) and not rlike(substring(text, w.s + 1, w.e - w.s), '[,;]')"
+    )
+    rows = tokens.withColumn("ws", F.expr(f"transform(concat({plain}, {joined}), (w, k) -> struct(k as seq, w as w))")).select(
+        "query_id", "text", "t", "l", "g", "dot_at", "mark_at", F.expr(f"explode(filter(ws, v -> {usable.replace('w.', 'v.w.')}))").alias("v")
     )
     return (
-        rows.withColumn("clean", F.expr(f"array_join(filter(low, x -> not array_contains({stop}, x)), ' ')"))
-        .where(F.expr(f"not array_contains({texts(BARE_MARKERS)}, clean)"))
-        .selectExpr(
-            "query_id", "seq", "low as tokens", "w.s as s", "w.e as e", "substring(text, 1, w.b) as before", "w.syn as synthetic",
-            "array_join(w.tokens, ' ') as window_text", "clean",
+        rows.selectExpr(
+            "query_id", "v.seq as seq", "v.w.low as tokens", "v.w.s as s", "v.w.e as e", "t[v.w.i].s as at", "v.w.syn as synthetic",
+            "array_join(v.w.hits, ' ') as window_text", f"array_join(filter(v.w.low, x -> not array_contains({stop}, x)), ' ') as clean",
+            "slice(l, greatest(v.w.i - 4, 1), least(v.w.i, 5)) as last", "g[v.w.i] as trigger", "dot_at", "mark_at",
+            "lower(substring(text, greatest(t[v.w.i].s - 30, 0) + 1, least(t[v.w.i].s, 30))) as near_before",
         )
+        .where(F.expr(f"not array_contains({texts(BARE_MARKERS)}, clean)"))
         .withColumn("a", normalize_key("window_text"))
         .withColumn("clean", normalize_key("clean"))
-        .withColumn("before_norm", normalize_chars("before"))
+        .withColumn("types", triggered_types())
+        .drop("near_before")
     )
 
 
-def trigger_type(before: str = "before_norm") -> Column:
-    """``struct<type, s>``: the marker right before a name and where it starts."""
+def marker_end(text: str) -> str:
+    """Where the first word that marks a station ends in the text; 0 if it has none."""
+    edge = "[A-Za-zА-Яа-яЁё0-9]"
+    words = "|".join(ru.STATION_MARKER_WORDS)
+    return f"length(regexp_extract(lower({text}), r'(?s)^.*?(?<!{edge})(?:{words})(?!{edge})', 0))"
+
+
+def trigger_expr(before_norm: str, end: str) -> str:
+    """F4 for a normalised piece of text that ends at ``end``."""
     out = "case"
     for pattern, kind in ru.TRIGGERS:
         p = lit(pattern)
-        out += (
-            f" when rlike({before}, {p}) then named_struct('type', '{kind}', 's', length({before}) - length(regexp_extract({before}, {p}, 0)))"
-        )
-    return F.expr(out + " end")
+        out += f" when rlike({before_norm}, {p}) then named_struct('type', '{kind}', 's', {end} - length(regexp_extract({before_norm}, {p}, 0)))"
+    return out + " end"
+
+
+def trigger_type(before: str = "before_norm") -> Column:
+    """``struct<type, s>``: the marker right before a name and where it starts."""
+    return F.expr(trigger_expr(before, f"length({before})"))
 
 
 def triggered_types() -> Column:
@@ -94,7 +137,7 @@ def triggered_types() -> Column:
         return f"arrays_overlap(tokens, {texts(words)})"
 
     hints = " or ".join(
-        f"contains(lower(window_text), '{h}') or contains(lower(right(before, 30)), '{h}')" for h in OPTION_HINTS
+        f"contains(lower(window_text), '{h}') or contains(near_before, '{h}')" for h in OPTION_HINTS
     )
     return F.expr(
         "array_distinct(array_compact(concat(array(trigger.type),"
@@ -126,22 +169,28 @@ def modifier_conflict(a: str = "a", b: str = "b") -> Column:
 
 
 def needs_marker() -> Column:
-    """an everyday-word station name without a station marker around."""
+    """an everyday-word station name without a station marker around.
+
+    ``dot_at`` and ``mark_at`` tell where the text has the first ``м.`` and the first marker word ends, ``at`` where the text
+    before the window ends.
+    """
     names, markers = texts(ru.NAMES_NEEDING_MARKER), texts(ru.STATION_MARKER_WORDS)
-    words = "regexp_extract_all(lower(concat(before, ' ', window_text)), '[A-Za-zА-Яа-яЁё0-9]+', 0)"
+    words = "regexp_extract_all(lower(window_text), '[A-Za-zА-Яа-яЁё0-9]+', 0)"
     return F.expr(
         f"type = 'metro' and (array_contains({names}, a) or array_contains({names}, name_key))"
-        f" and not contains(lower(before), 'м.') and not arrays_overlap({words}, {markers})"
+        f" and not (dot_at > 0 and dot_at < at) and not (mark_at > 0 and mark_at <= at) and not arrays_overlap({words}, {markers})"
     )
 
 
 def context_score() -> Column:
-    """bonus of markers and prepositions near the window and of the type."""
-    last5 = f"transform(slice(bt, greatest(size(bt) - 4, 1), 5), x -> x)"
+    """bonus of markers and prepositions near the window and of the type.
+
+    ``last`` holds up to five lower-case tokens before the window, ``names`` the names of the entry in lower case.
+    """
 
     def marked(markers: list[str]) -> str:
         tests = [
-            f"array_contains({last5}, '{m}') or (array_contains(tokens, '{m}') and not exists(names, n -> array_contains(split(n, ' '), '{m}')))"
+            f"array_contains(last, '{m}') or (array_contains(tokens, '{m}') and not exists(names, n -> array_contains(split(n, ' '), '{m}')))"
             for m in markers
         ]
         return "(" + " or ".join(tests) + ")"
@@ -151,7 +200,7 @@ def context_score() -> Column:
         f" or type = 'county' and {marked(['округ', 'округе'])} or type = 'metro' and {marked(['м', 'метро'])}"
         f" or type in ('options', 'option_groups') and {marked(['вид', 'видом'])} then {MARKER_BONUS}D else 0.0D end"
     )
-    last, first = "coalesce(element_at(bt, -1), '')", "coalesce(get(tokens, 0), '')"
+    last, first = "coalesce(try_element_at(last, -1), '')", "coalesce(get(tokens, 0), '')"
     inside = f"exists(names, n -> contains(n, {first}))"
     on = (
         f"case when ({last} = 'на' or {first} = 'на') and ({first} = 'на' or {inside}) then case when type in ('county', 'district')"
@@ -161,63 +210,112 @@ def context_score() -> Column:
         f"case when ({last} = 'в' or {first} = 'в') and ({first} = 'в' or {inside}) and type = 'complex' then {PREPOSITION_BONUS}D else 0.0D end"
     )
     kind = "case type " + " ".join(f"when '{t}' then {v}D" for t, v in TYPE_BONUS.items()) + " else 0.0D end"
-    body = f"{bonus} + {on} + {at} + {kind}"
-    before = f"transform(regexp_extract_all(before, {lit(TOKEN)}, 0), x -> lower(x))"
-    return F.expr(f"transform(array(case when size({before}) = 0 then array('') else {before} end), bt -> {body})[0]")
+    return F.expr(f"{bonus} + {on} + {at} + {kind}")
 
 
-def composite_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b, ratio, score)``: score is the greater of F2 and 0.95 times F2 of the sorted words."""
-    direct = similar_pairs(left, right, threshold)
-    ls = left.select("a").distinct().withColumn("sa", token_sort(F.col("a")))
-    rs = right.select("b").distinct().withColumn("sb", token_sort(F.col("b")))
-    moved = ls.where("sa <> a").select("sa").unionByName(ls.where("contains(a, ' ')").select("sa")).distinct()
-    swapped = (
-        similar_pairs(moved.select(F.col("sa").alias("a")), rs.select(F.col("sb").alias("b")), threshold / SORTED_WEIGHT)
-        .select(F.col("a").alias("sa"), F.col("b").alias("sb"), (F.col("score") * SORTED_WEIGHT).alias("sorted_score"))
-        .join(ls, "sa")
-        .join(rs, "sb")
-        .select("a", "b", "sorted_score")
+def containing_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """``left(a, kind)``, ``right(b, kind)`` -> all ``(a, b)`` of one kind that may score ``threshold`` by words or pieces.
+
+    Texts that share a word meet on it, salted where a word is in very many names. Where the shorter text is like a piece
+    of the longer one, F2 of that piece is at least ``t = threshold / 90``. A character of the shorter one (of ``n``)
+    without a partner breaks two of its bigrams, one that stands between partners in the piece breaks one; by ``t`` that is
+    at most ``4 n (1 - t) / (2 - t)`` in all. So one of that many rarest bigrams, and one more, stands in the longer text.
+    Texts of one character meet on it.
+    """
+    if threshold <= 100 * FAR_WEIGHT:
+        raise ValueError("below, very long texts and very short ones may score")
+    def worded(df: DataFrame, text: str) -> DataFrame:
+        return df.select("kind", text, F.explode(F.array_distinct(F.split(text, " "))).alias("word")).where("word <> ''").distinct()
+
+    by_word = join_split(worded(left, "a"), worded(right, "b"), ["kind", "word"], ["b"]).select("a", "b")
+    both = by_word.distinct()
+    for short, long, own, other in ((left, right, "a", "b"), (right, left, "b", "a")):
+        both = both.unionByName(_pieces(short, long, own, other, threshold).select("a", "b"))
+    return both.distinct()
+
+
+def _pieces(short: DataFrame, long: DataFrame, own: str, other: str, threshold: float) -> DataFrame:
+    """Pairs in which ``own`` is the shorter text by ``PARTIAL_FROM`` times and shares one of its rarest bigrams."""
+    grams = "transform(sequence(1, length({0}) - 1), i -> substring({0}, i, 2))"
+    singles = "transform(sequence(1, length({0})), i -> substring({0}, i, 1))"
+    inside = long.distinct().select(
+        "kind", other, F.explode(F.expr(f"array_distinct(concat(case when length({other}) > 1 then {grams.format(other)} else array() end, {singles.format(other)}))")).alias("gram")
+    )
+    rare = inside.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("freq"))
+    t = min(threshold / (100 * PARTIAL_WEIGHT), 1.0)
+    broken = f"floor(length({own}) * {4 * (1 - t) / (2 - t):.9f} + 1e-9)"
+    keys = (
+        short.distinct()
+        .select("kind", own, F.explode(F.expr(f"case when length({own}) > 1 then array_distinct({grams.format(own)}) else array({own}) end")).alias("gram"))
+        .join(rare, ["kind", "gram"], "left")
+        .groupBy("kind", own)
+        .agg(F.expr("array_sort(collect_list(struct(coalesce(freq, 0L) as freq, gram)))").alias("g"))
+        .withColumn("gram", F.explode(F.expr(f"slice(g.gram, 1, cast({broken} + 1 as int))")))
+        .select("kind", own, "gram")
     )
-    both = direct.withColumnRenamed("score", "ratio").join(swapped, ["a", "b"], "full")
-    ratio = F.coalesce("ratio", similarity(F.col("a"), F.col("b")))
-    return both.select("a", "b", ratio.alias("ratio"), F.greatest(ratio, F.coalesce("sorted_score", F.lit(0.0))).alias("score"))
+    return join_split(keys, inside, ["kind", "gram"], [other]).where(
+        f"length({other}) between {PARTIAL_FROM} * length({own}) and {FAR_FROM} * length({own})"
+    ).distinct()
+
+
+def composite_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """``left(a, kinds)``, ``right(b, kind)`` -> ``(a, b, ratio, score)`` of F2 and the composite score.
+
+    Scores at least ``threshold``, over all pairs for F2 and F2 of sorted words; words and pieces (which find a name by a
+    part of it) for the names of the ``kinds`` that a marker announces for ``a``.
+    """
+    def spelled(df: DataFrame, text: str, both: str) -> DataFrame:
+        return df.select(text).where(f"{text} <> ''").distinct().withColumn(both, F.explode(F.array_distinct(F.array(F.col(text), token_sort(F.col(text))))))
+
+    # one search finds texts alike as they stand and with sorted words
+    ls, rs = spelled(left, "a", "x"), spelled(right, "b", "y")
+    alike = similar_pairs(ls.select(F.col("x").alias("a")), rs.select(F.col("y").alias("b")), threshold)
+    alike = alike.select(F.col("a").alias("x"), F.col("b").alias("y")).join(ls, "x").join(rs, "y").select("a", "b")
+    announced = left.select("a", F.explode("kinds").alias("kind")).where("a <> ''").distinct()
+    contained = containing_pairs(announced, right.select("b", "kind").where("b <> ''").distinct(), threshold)
+    both = through_table(alike.unionByName(contained).distinct(), "name-pairs")
+    ratio = both.withColumn("masks", char_masks(F.col("a"))).select("a", "b", similarity(F.col("a"), F.col("b"), F.col("masks")).alias("ratio"))
+    return ratio.withColumn("score", composite_score(F.col("a"), F.col("b"), F.col("ratio"))).where(F.col("score") >= threshold - 1e-9)
 
 
 def match_gazetteer(queries: DataFrame, entries: DataFrame) -> DataFrame:
     """best entries per window, before overlaps are resolved.
 
-    ``queries(query_id, text)``, ``entries(ord, type, name, slug, id, aliases)``. Windows are
-    compared as distinct texts, so a phrase shared by a million queries is scored once.
+    ``queries(query_id, text)``, ``entries(ord, type, name, slug, id, aliases)``. Windows are compared as distinct
+    texts, so a phrase shared by a million queries is scored once. After a marker a name is also found by a part of it,
+    if the window without its stop words scores too.
     """
-    windows = text_windows(queries).withColumn("trigger", trigger_type())
     # Scored as distinct texts and then joined back, so the windows are cut once and kept.
-    windows = through_table(windows.withColumn("types", triggered_types()), "windows")
+    windows = through_table(text_windows(queries), "windows")
     named = choices(entries)
-    pairs = composite_pairs(windows.select("a"), named.select("b"), TRIGGERED_SCORE)
+    asked = windows.select("a", F.col("types").alias("kinds")).distinct()
+    pairs = composite_pairs(asked, named.select("b", F.col("type").alias("kind")), TRIGGERED_SCORE)
     options = "type in ('options', 'option_groups')"
-    rows = (
-        windows.join(pairs, "a")
-        .join(named.withColumn("name_key", normalize_key("name")), "b")
-        .withColumn("hot", F.expr("array_contains(types, type)"))
-    )
     short = f"length(replace(b, ' ', '')) <= {EXACT_LENGTH}"
-    kept = rows.where(
-        f"case when {short} then a = b else score >= case when hot then {TRIGGERED_SCORE} else {PLAIN_SCORE} end"
-        f" and not ((synthetic or not hot or (size(tokens) = 1 and {options})) and ratio < {PLAIN_SCORE})"
-        f" and not ({options} and ratio < {OPTION_SCORE}) end"
+    entry = named.withColumn("name_key", normalize_key("name"))
+    # all that depends on the two texts alone is settled before windows are multiplied
+    told = (
+        pairs.join(entry, "b")
+        .withColumn("short", F.expr(short))
+        .where("case when short then a = b else true end")
+        .where(~(F.expr(options) & ~F.col("short") & ((F.col("ratio") < OPTION_SCORE) | modifier_conflict())))
     )
-    kept = kept.where(~(F.expr(options) & ~F.expr(short) & modifier_conflict())).where(
-        ~F.col("hot") | F.expr(short) | (F.col("clean") == F.col("a"))
-        | (F.greatest(similarity(F.col("clean"), F.col("b")), similarity(token_sort(F.col("clean")), token_sort(F.col("b"))) * SORTED_WEIGHT) >= TRIGGERED_SCORE)
+    rows = windows.join(told, "a").withColumn("hot", F.expr("array_contains(types, type)"))
+    kept = rows.where(
+        f"short or (score >= case when hot then {TRIGGERED_SCORE} else {PLAIN_SCORE} end"
+        f" and not ((synthetic or not hot or (size(tokens) = 1 and {options})) and ratio < {PLAIN_SCORE}))"
     )
+    # few pairs differ in their cleaned text: they are scored once and met again
+    cleaned = kept.where("hot and not short and clean <> a").select("clean", "b").distinct()
+    cleaned = cleaned.select("clean", "b", composite_score(F.col("clean"), F.col("b"), similarity(F.col("clean"), F.col("b"))).alias("clean_score"))
+    kept = kept.join(cleaned, ["clean", "b"], "left").where(f"not hot or short or clean = a or clean_score >= {TRIGGERED_SCORE}")
     window = Window.partitionBy("query_id", "seq")
     top = kept.withColumn("best", F.max("score").over(window)).where(F.col("best") - F.col("score") < TOP_RANGE)
     scored = (
         top.where(~needs_marker())
         .withColumn("base", F.expr("score + ratio / 1000.0D"))
         .groupBy("query_id", "seq", "type", "name")
-        .agg(F.max_by(F.struct("base", "slug", "id", "names", "s", "e", "tokens", "before", "trigger", "types", "entry_ord", "window_text"), F.struct("base", -F.col("entry_ord"))).alias("m"))
+        .agg(F.max_by(F.struct("base", "slug", "id", "names", "s", "e", "tokens", "last", "trigger", "types", "entry_ord", "window_text"), F.struct("base", -F.col("entry_ord"))).alias("m"))
         .select("query_id", "seq", "type", "name", "m.*")
         .withColumn("adjusted", F.col("base") + context_score())
     )

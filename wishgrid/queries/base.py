@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to all tasks by ``key``, before costly texts are made of them.
+
+    A file of one row group is read by one task, however many there are. Deal the bare keys, not the texts; the number
+    is given, so that small rows are not merged again at run time.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def lat_of(key: Column) -> Column:
     return F.lit(55.40) + (key * 37 % 650) / F.lit(1000.0)
 

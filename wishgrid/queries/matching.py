@@ -8,7 +8,7 @@ from wishgrid.functions.text import char_masks, normalize_chars, normalize_key,
 from wishgrid.operators import gazetteer as gz
 from wishgrid.operators import vectors
 from wishgrid.operators.similar import similar_pairs
-from wishgrid.queries.base import sql_key, table, with_sql
+from wishgrid.queries.base import spread, sql_key, table, with_sql
 from wishgrid.queries.catalog import sql_similarity
 from wishgrid.queries.registry import query
 
@@ -90,6 +90,54 @@ def f8_alias_coverage(spark, sf):
 
 # --- names in texts: an order asks for the label of a part ------------------------------------------
 
+_PART = "list_max(list_transform(range(2 - length({s}), length({l}) + 1), lambda q: {sim}))"
+
+
+def _sql_partial(a: str, b: str) -> str:
+    short = f"(CASE WHEN length({a}) <= length({b}) THEN {a} ELSE {b} END)"
+    long = f"(CASE WHEN length({a}) <= length({b}) THEN {b} ELSE {a} END)"
+    first, last = "greatest(q, 1)", f"least(q + length({short}) - 1, length({long}))"
+    piece = f"substring({long}, {first}::INT, ({last} - {first} + 1)::INT)"
+    best = _PART.format(s=short, l=long, sim=sql_similarity(short, piece))
+    return f"(CASE WHEN length({short}) = 0 THEN 0.0 WHEN contains({long}, {short}) THEN 100.0 ELSE {best} END)"
+
+
+#: ``pairs(a, b)`` -> ``composite(a, b, ratio, score)`` over every pair.
+SQL_COMPOSITE = f"""tokens AS (SELECT a, b, list_sort(string_split(a, ' ')) AS x, list_sort(string_split(b, ' ')) AS y FROM pairs),
+sets AS (SELECT a, b, array_to_string(x, ' ') AS sa, array_to_string(y, ' ') AS sb,
+  array_to_string(list_filter(list_distinct(x), lambda t: list_contains(y, t)), ' ') AS w,
+  array_to_string(list_sort(list_filter(list_distinct(x), lambda t: NOT list_contains(y, t))), ' ') AS ra,
+  array_to_string(list_sort(list_filter(list_distinct(y), lambda t: NOT list_contains(x, t))), ' ') AS rb FROM tokens),
+measured AS (SELECT *, CASE WHEN a = b THEN 100.0 ELSE {sql_similarity('a', 'b')} END AS ratio, CASE WHEN sa = sb THEN 100.0 ELSE {sql_similarity('sa', 'sb')} END AS by_sort,
+  CASE WHEN ra = '' OR rb = '' THEN 0.0 ELSE {sql_similarity('ra', 'rb')} * (length(ra) + length(rb)) / 200.0 END AS common, (w <> '')::INT AS gap,
+  greatest(length(a), length(b)) / least(length(a), length(b)) AS times FROM sets WHERE a <> '' AND b <> ''),
+worded AS (SELECT *, CASE WHEN w <> '' AND (ra = '' OR rb = '') THEN 100.0 ELSE greatest(
+  200.0 * (length(w) + gap + common) / (2 * (length(w) + gap) + length(ra) + length(rb)),
+  CASE WHEN w <> '' THEN 200.0 * length(w) / (2 * length(w) + 1 + least(length(ra), length(rb))) ELSE 0.0 END) END AS by_set FROM measured),
+composite AS (SELECT a, b, ratio, greatest(ratio, CASE WHEN a = b THEN 100.0 WHEN times < 1.5 THEN 0.95 * greatest(by_sort, by_set)
+  ELSE (CASE WHEN times <= 8 THEN 0.9 ELSE 0.6 END) * greatest({_sql_partial('a', 'b')}, 0.95 * CASE WHEN w <> '' THEN 100.0 ELSE {_sql_partial('sa', 'sb')} END) END) AS score FROM worded)"""
+
+# What is asked: the name, near names, its first word, its words turned round with another, a foreign name.
+_ASKED = [
+    "p_name", "p_name || 's'", "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1)",
+    "replace(p_name, substring(p_name, 2, 1), '')", "split_part(p_name, ' ', 2) || ' дом'", "'абвгд'",
+]
+_SQL_ASKED = " UNION ".join(f"SELECT {f} AS a FROM part" for f in _ASKED)
+
+
+@query(
+    "f1_composite_scores",
+    with_sql("names AS (SELECT DISTINCT p_name AS b FROM part UNION SELECT DISTINCT p_name || ' ' || lower(p_type) FROM part)", f"asked AS ({_SQL_ASKED})", "pairs AS (SELECT a, b FROM asked, names)", SQL_COMPOSITE)
+    + "SELECT a, b, round(ratio, 4) AS ratio, round(score, 4) AS score FROM composite WHERE score >= 75 - 1e-9",
+)
+def f1_composite_scores(spark, sf):
+    part = table(spark, sf, "part")
+    forms = [f.replace("split_part(p_name, ' ', 1)", "split(p_name, ' ')[0]").replace("split_part(p_name, ' ', 2)", "split(p_name, ' ')[1]") for f in _ASKED]
+    asked = part.select(F.explode(F.array(*(F.expr(f) for f in forms))).alias("a")).distinct().withColumn("kinds", F.array(F.lit("complex")))
+    names = part.select(F.explode(F.expr("array(p_name, p_name || ' ' || lower(p_type))")).alias("b")).distinct().withColumn("kind", F.lit("complex"))
+    out = gz.composite_pairs(asked, names, 75.0)
+    return out.select("a", "b", F.round("ratio", 4).alias("ratio"), F.round("score", 4).alias("score"))
+
 
 def _entries(spark, sf):
     return table(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("ord")).selectExpr(
@@ -97,31 +145,46 @@ def _entries(spark, sf):
     )
 
 
+# An order asks for the name after a marker or without one, for a near name, for a part of it, for a foreign one.
+_FORM = """CASE k % 6 WHEN 2 THEN {name} || 's' WHEN 3 THEN {first} WHEN 4 THEN 'абвгд' ELSE {name} END"""
+_BEFORE = "CASE k % 6 WHEN 0 THEN 'хочу жк ' WHEN 1 THEN 'ищу квартиру, ' ELSE 'в жк ' END"
+
+
 def _asking(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_name")
-    rows = table(spark, sf, "orders").join(part, F.col("p_partkey") == F.col("o_custkey"))
-    return rows.selectExpr(
-        "o_orderkey as query_id",
-        "concat(case o_orderkey % 3 when 0 then 'хочу жк ' when 1 then 'ищу квартиру, ' else 'в жк ' end, p_name, case when o_orderkey % 2 = 0 then ', недорого' else '' end) as text",
-    )
+    orders = spread(table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey"), "k")
+    rows = orders.join(part, F.col("p_partkey") == F.col("o_custkey"))
+    form = _FORM.format(name="p_name", first="split(p_name, ' ')[0]")
+    return rows.selectExpr("k as query_id", f"concat({_BEFORE}, {form}, case when k % 2 = 0 then ', недорого' else '' end) as text")
+
+
+_SQL_FOUND = with_sql(
+    "names AS (SELECT p_name AS b, min(p_partkey) AS ord FROM part GROUP BY 1)",
+    "asks AS (SELECT o_orderkey AS k, " + _FORM.format(name="p_name", first="split_part(p_name, ' ', 1)").replace("k % 6", "o_orderkey % 6") + " AS a FROM orders JOIN part ON p_partkey = o_custkey)",
+    "pairs AS (SELECT a, b FROM (SELECT DISTINCT a FROM asks), names)",
+    SQL_COMPOSITE,
+    "best AS (SELECT a, arg_max(b, (score + ratio / 1000, -ord)) AS name, max(score + ratio / 1000) AS score FROM composite JOIN names USING (b) WHERE score >= 75 - 1e-9 GROUP BY a)",
+)
 
 
 @query(
     "f1_match_gazetteer",
-    "SELECT o_orderkey AS query_id, p_name AS name FROM orders JOIN part ON p_partkey = o_custkey",
+    _SQL_FOUND + "SELECT k AS query_id, name, round(score, 4) AS score FROM asks JOIN best USING (a)",
 )
 def f1_match_gazetteer(spark, sf):
     found = gz.match_gazetteer(_asking(spark, sf), _entries(spark, sf))
-    return gz.resolve_overlaps(found).select("query_id", "name")
+    return gz.resolve_overlaps(found).select("query_id", "name", F.round("score", 4).alias("score"))
 
 
 @query(
     "f7_resolve_overlaps",
-    "SELECT o_orderkey AS query_id, count(*) AS n FROM orders JOIN part ON p_partkey = o_custkey GROUP BY 1",
+    _SQL_FOUND
+    + f"""SELECT k AS query_id, name, CASE k % 6 WHEN 0 THEN length({_BEFORE}) - 3 WHEN 1 THEN length({_BEFORE}) ELSE 0 END::INT AS s, (length({_BEFORE}) + length(a))::INT AS e, false AS ambiguous
+FROM asks JOIN best USING (a)""",
 )
 def f7_resolve_overlaps(spark, sf):
     found = gz.resolve_overlaps(gz.match_gazetteer(_asking(spark, sf), _entries(spark, sf)))
-    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return found.select("query_id", "name", "s", "e", "ambiguous")
 
 
 @query(
@@ -146,7 +209,7 @@ def f3_context_score(spark, sf):
         "case o_orderkey % 4 when 0 then 'у метро' when 1 then 'хочу на' when 2 then 'жк в' else 'дом' end as before",
         "case o_orderkey % 4 when 0 then 'metro' when 1 then 'district' when 2 then 'complex' else 'option_groups' end as type",
         "array(concat('имя', o_custkey)) as tokens", "array(concat('имя', o_custkey, ' x')) as names",
-    )
+    ).withColumn("last", F.split("before", " "))
     return rows.select("query_id", F.round(gz.context_score(), 4).alias("score"))
 
 
@@ -171,7 +234,7 @@ def f6_needs_marker(spark, sf):
         "o_orderkey as query_id", "'metro' as type", "case when o_orderkey % 3 = 2 then 'сокол' else 'аэропорт' end as a",
         "case when o_orderkey % 3 = 2 then 'сокол' else 'аэропорт' end as name_key", "case when o_orderkey % 3 = 1 then 'у метро' else 'рядом' end as before",
         "'Аэропорт' as window_text",
-    )
+    ).selectExpr("*", "length(before) + 1 as at", "instr(lower(before), 'м.') as dot_at", f"{gz.marker_end('before')} as mark_at")
     return rows.select("query_id", gz.needs_marker().alias("needs"))
 
 
@@ -182,7 +245,8 @@ FROM orders JOIN part ON p_partkey = o_custkey""",
 )
 def e18_landmark_requirements(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_name")
-    rows = (table(spark, sf, "orders").join(part, F.col("p_partkey") == F.col("o_custkey"))).selectExpr(
+    orders = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    rows = orders.join(part, F.col("p_partkey") == F.col("o_custkey")).selectExpr(
         "o_orderkey as query_id",
         "concat(case when o_orderkey % 3 = 0 then 'как можно ближе к ' else 'дом рядом с ' end, p_name, case when o_orderkey % 2 = 0 then concat(' не дальше ', 1 + o_custkey % 5, ' км') else '' end) as text",
     ).withColumn("norm", normalize_chars("text"))

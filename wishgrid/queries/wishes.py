@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wishgrid.functions.text import normalize_chars
 from wishgrid.operators import extract as e
 from wishgrid.plans.parse import apply_rules, parse
-from wishgrid.queries.base import table
+from wishgrid.queries.base import spread, table
 from wishgrid.queries.registry import query
 
 YEAR = 2026
@@ -33,7 +33,7 @@ SQL_BASE = "(SELECT o_orderkey AS k, o_custkey AS c FROM orders)"
 
 
 def wishes(spark, sf):
-    rows = table(spark, sf, "orders").selectExpr("o_orderkey as k", "o_custkey as c")
+    rows = spread(table(spark, sf, "orders").selectExpr("o_orderkey as k", "o_custkey as c"), "k")
     return rows.selectExpr("k as query_id", f"{TEXT} as text")
 
 
