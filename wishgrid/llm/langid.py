@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,14 +25,20 @@ UNKNOWN = "und"
 #: Below this score the filter lets a document go.
 LEAST_SCORE = 0.3
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: What is no word character, and word characters that are no letters (digits, other numbers, the underscore).
+_NOT_WORD = re.compile(r"[\W\d_]+")
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
 def buckets(text: str) -> np.ndarray | None:
     """Bucket of every character n-gram of the whole text (letters lower-cased, the rest one space); None: no letter."""
-    letters = _NOT_LETTERS.sub(" ", text.lower()).strip()
-    if not letters:
+    letters = _NOT_WORD.sub(" ", text.lower())
+    if not letters.isascii():  # number signs such as a half are word characters to a regular expression
+        signs = {c for c in set(letters) if c != " " and not c.isalpha() and not unicodedata.category(c).startswith("M")}
+        if signs:
+            letters = " ".join(letters.translate(dict.fromkeys(map(ord, signs), " ")).split())
+    letters = letters.strip()
+    if not any(map(str.isalpha, letters)):
         return None
     chars = np.frombuffer(f" {letters} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
     shift, found, value = np.uint64(64 - BUCKETS.bit_length() + 1), [], np.zeros(1, np.uint64)
@@ -136,7 +143,7 @@ def fit(docs: DataFrame, per_lang: int = FIT_PER_LANG, epochs: int = 3) -> Model
 
     How many of them hold an n-gram (for the inverse document frequency) is counted over all of them, in tasks that
     send one sparse vector each. The weights are fitted on about ``per_lang`` documents a language, chosen by hash of
-    the id: a bound that does not grow with the input. Without any labelled document the model knows no language.
+    id and text, equal rows once: a bound that does not grow with the input. Without any labelled document the model knows no language.
     """
     send_package(docs.sparkSession)
     labelled = docs.select("doc_id", "text", "lang").where(
@@ -168,8 +175,8 @@ def fit(docs: DataFrame, per_lang: int = FIT_PER_LANG, epochs: int = 3) -> Model
     langs = sorted(by_lang)
     if not langs:
         return Model([], idf, np.zeros((BUCKETS, 0)), 1.0)
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1 << 20))
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(round(per_lang / n * (1 << 20)))) for k, n in by_lang.items()))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(7)), F.lit(1 << 52))
+    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(max(1, round(per_lang / n * (1 << 52))))) for k, n in by_lang.items()))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,9 +190,9 @@ def fit(docs: DataFrame, per_lang: int = FIT_PER_LANG, epochs: int = 3) -> Model
                 ["place", "lang", "index", "counts"],
             )
 
-    sample = labelled.where(place < share).select(place.alias("place"), "lang", "text").mapInArrow(
-        vectors, "place long, lang string, index binary, counts binary"
-    )
+    # rows equal in id, text and lang share a place: they are fitted once, however often they stand
+    chosen = labelled.where(place < share).select(place.alias("place"), "lang", "text")
+    sample = chosen.mapInArrow(vectors, "place long, lang string, index binary, counts binary").distinct()
     rows = sorted(tuple(r) for r in sample.collect())  # bounded by per_lang a language
     data = []
     for _, lang, index, counts in rows:
