@@ -258,22 +258,24 @@ def _pieces(short: DataFrame, long: DataFrame, own: str, other: str, threshold:
     ).distinct()
 
 
-def composite_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def composite_pairs(left: DataFrame, right: DataFrame, threshold: float, plain: float | None = None) -> DataFrame:
     """``left(a, kinds)``, ``right(b, kind)`` -> ``(a, b, ratio, score)`` of F2 and the composite score.
 
-    Scores at least ``threshold``, over all pairs for F2 and F2 of sorted words; words and pieces (which find a name by a
-    part of it) for the names of the ``kinds`` that a marker announces for ``a``.
+    With a marker that announces the kind of ``b`` all pairs that score ``threshold``: as they stand, with their words
+    sorted, by shared words or by pieces. Without one all pairs whose F2 is at least ``plain``, which is not below ``threshold`` (equal to it if not given).
     """
     def spelled(df: DataFrame, text: str, both: str) -> DataFrame:
         return df.select(text).where(f"{text} <> ''").distinct().withColumn(both, F.explode(F.array_distinct(F.array(F.col(text), token_sort(F.col(text))))))
 
-    # one search finds texts alike as they stand and with sorted words
-    ls, rs = spelled(left, "a", "x"), spelled(right, "b", "y")
+    announced = left.select("a", F.explode("kinds").alias("kind")).where("a <> ''").distinct()
+    # one search finds announced texts as they stand and with sorted words
+    ls, rs = spelled(announced, "a", "x"), spelled(right, "b", "y")
     alike = similar_pairs(ls.select(F.col("x").alias("a")), rs.select(F.col("y").alias("b")), threshold)
     alike = alike.select(F.col("a").alias("x"), F.col("b").alias("y")).join(ls, "x").join(rs, "y").select("a", "b")
-    announced = left.select("a", F.explode("kinds").alias("kind")).where("a <> ''").distinct()
     contained = containing_pairs(announced, right.select("b", "kind").where("b <> ''").distinct(), threshold)
-    both = through_table(alike.unionByName(contained).distinct(), "name-pairs")
+    bare = left.groupBy("a").agg(F.max(F.size("kinds")).alias("n")).where("n <= 0").select("a")
+    cold = similar_pairs(bare, right, plain or threshold).select("a", "b")
+    both = through_table(alike.unionByName(contained).unionByName(cold).distinct(), "name-pairs")
     ratio = both.withColumn("masks", char_masks(F.col("a"))).select("a", "b", similarity(F.col("a"), F.col("b"), F.col("masks")).alias("ratio"))
     return ratio.withColumn("score", composite_score(F.col("a"), F.col("b"), F.col("ratio"))).where(F.col("score") >= threshold - 1e-9)
 
@@ -289,7 +291,7 @@ def match_gazetteer(queries: DataFrame, entries: DataFrame) -> DataFrame:
     windows = through_table(text_windows(queries), "windows")
     named = choices(entries)
     asked = windows.select("a", F.col("types").alias("kinds")).distinct()
-    pairs = composite_pairs(asked, named.select("b", F.col("type").alias("kind")), TRIGGERED_SCORE)
+    pairs = composite_pairs(asked, named.select("b", F.col("type").alias("kind")), TRIGGERED_SCORE, PLAIN_SCORE)
     options = "type in ('options', 'option_groups')"
     short = f"length(replace(b, ' ', '')) <= {EXACT_LENGTH}"
     entry = named.withColumn("name_key", normalize_key("name"))
