@@ -9,10 +9,12 @@ from wishgrid.llm.common import written
 
 #: What separates lines or paragraphs.
 SEPARATORS = {"line": r"\n", "paragraph": r"\n\n"}
+#: White space as in Unicode.
+WHITE = r"[\x09-\x0D \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def _normal(unit: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(unit), r"[\x09-\x0D\x85\p{Z}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(unit), WHITE + "+", " "))
 
 
 def unit_table(docs: DataFrame, unit: str = "line", least_words: int = 1) -> DataFrame:
@@ -40,7 +42,7 @@ def repeated_units(docs: DataFrame, unit: str = "line", least_words: int = 1) ->
 
     Digests are counted with map-side sums, and the repeated ones are written as a table: so the join that brings them
     back to their units has two plain sides, and a hot digest can be split by Spark at run time. Blank units have no
-    digest and take no part in that join. Units come together per document only, for the running offset.
+    digest: each goes through that join under a key of its own, so they lie in no one place. Units come together per document only, for the running offset.
     """
     gap = len(SEPARATORS[unit]) // 2
     units = unit_table(docs, unit, least_words)
@@ -54,9 +56,10 @@ def repeated_units(docs: DataFrame, unit: str = "line", least_words: int = 1) ->
     firsts = written(firsts, "repeated-lines")
     own = F.struct("doc_id", "key", "pos")
     gone = F.col("first").isNotNull() & ~own.eqNullSafe(F.col("first"))
-    told = units.where("digest IS NOT NULL").join(firsts, "digest", "left").select("doc_id", "key", "pos", "len", gone.alias("gone"))
-    blank = units.where("digest IS NULL").select("doc_id", "key", "pos", "len", F.lit(False).alias("gone"))
-    placed = told.unionByName(blank).groupBy("doc_id", "key", "pos").agg(F.first("len").alias("len"), F.first("gone").alias("gone"))
+    apart = F.unhex(F.lpad(F.hex(F.xxhash64("doc_id", "key", "pos")), 16, "0"))  # 8 bytes: no digest is equal to it
+    told = units.withColumn("digest", F.coalesce("digest", apart)).join(firsts, "digest", "left")
+    placed = told.select("doc_id", "key", "pos", "len", gone.alias("gone"))
+    placed = placed.groupBy("doc_id", "key", "pos").agg(F.first("len").alias("len"), F.first("gone").alias("gone"))
     before = Window.partitionBy("doc_id", "key").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     offset = placed.withColumn("start", F.coalesce(F.sum(F.col("len") + gap).over(before), F.lit(0)))
     span = F.when(F.col("gone"), F.struct(F.col("start").cast("long").alias("start"), F.col("len").cast("long").alias("len")))
