@@ -21,7 +21,7 @@ from wishgrid.functions.text import (
     token_sort,
 )
 from wishgrid.operators.extract import landmark_windows, texts
-from wishgrid.operators.similar import similar_pairs
+from wishgrid.operators.similar import candidate_pairs, similar_pairs
 from wishgrid.operators.skew import join_split
 from wishgrid.packs import russian as ru
 from wishgrid.session import through_table
@@ -55,28 +55,35 @@ def choices(entries: DataFrame) -> DataFrame:
     ).where("b <> ''")
 
 
-def text_windows(queries: DataFrame) -> DataFrame:
-    """Candidate windows of one to five tokens, plus "adjective … and noun" ones.
-
-    Windows across a comma or semicolon, at the edge of stop words or made of them are left out. Markers before a window
-    are looked up once per token, in the few tokens before it; a window carries what scoring needs and never its text.
+def text_tokens(queries: DataFrame) -> DataFrame:
+    """Tokens of every text that has any, with what windows need to know of the text: one row per text.
 
-    Columns: ``query_id, seq, tokens, s, e, at`` (where the text before it ends), ``synthetic, window_text, a, clean, last``
-    (up to five tokens before), ``trigger`` (F4), ``types`` (types announced by a marker), ``dot_at, mark_at`` (where the
-    text first has a station marker).
+    Columns: ``query_id, text, t`` (tokens), ``l`` (in lower case), ``g`` (F4 of the text before each token), ``dot_at,
+    mark_at`` (where the text first has a station marker). Markers are looked up once per token, in the few tokens before it.
     """
     tokens = queries.select("query_id", "text", F.expr(match_spans("text", Rule("t", TOKEN))).alias("t"))
     tokens = tokens.where("size(t) > 0").withColumn("l", F.expr("transform(t, x -> lower(x.hit))"))
     back = f"case when i > {TRIGGER_TOKENS} then t[i - {TRIGGER_TOKENS} - 1].e else 0 end"
     near = f"substring(text, {back} + 1, x.s - ({back}))"
     folded = f"translate(lower({{}}), '{LOOKALIKE_FROM}', '{LOOKALIKE_TO}')"
-    tokens = tokens.withColumn(
+    return tokens.withColumn(
         "g",
         F.expr(
             f"transform(t, (x, i) -> case when i > 0 and array_contains({texts(TRIGGER_WORDS)}, substring_index({folded.format('l[i - 1]')}, '-', -1))"
             f" then {let(folded.format(near), 'bf', trigger_expr('bf', 'x.s'))} end)"
         ),
     ).withColumn("dot_at", F.expr("instr(lower(text), 'м.')")).withColumn("mark_at", F.expr(marker_end("text")))
+
+
+def token_windows(tokens: DataFrame) -> DataFrame:
+    """Candidate windows of one to five tokens, plus "adjective … and noun" ones.
+
+    Windows across a comma or semicolon, at the edge of stop words or made of them are left out. A window carries what
+    scoring needs and never its text.
+
+    Columns: ``query_id, seq, tokens, s, e, at`` (where the text before it ends), ``synthetic, window_text, a, clean, last``
+    (up to five tokens before), ``trigger`` (F4), ``types`` (types announced by a marker), ``dot_at, mark_at``.
+    """
     plain = (
         f"flatten(transform(sequence(1, {MAX_WINDOW}), n -> case when n > size(t) then array() else transform(sequence(0, size(t) - n),"
         " i -> named_struct('low', slice(l, i + 1, n), 'hits', transform(slice(t, i + 1, n), x -> x.hit), 's', t[i].s, 'e', t[i + n - 1].e, 'i', i, 'syn', false)) end))"
@@ -109,6 +116,10 @@ def text_windows(queries: DataFrame) -> DataFrame:
     )
 
 
+def text_windows(queries: DataFrame) -> DataFrame:
+    return token_windows(text_tokens(queries))
+
+
 def marker_end(text: str) -> str:
     """Where the first word that marks a station ends in the text; 0 if it has none."""
     edge = "[A-Za-zА-Яа-яЁё0-9]"
@@ -267,17 +278,21 @@ def composite_pairs(left: DataFrame, right: DataFrame, threshold: float, plain:
     def spelled(df: DataFrame, text: str, both: str) -> DataFrame:
         return df.select(text).where(f"{text} <> ''").distinct().withColumn(both, F.explode(F.array_distinct(F.array(F.col(text), token_sort(F.col(text))))))
 
-    announced = left.select("a", F.explode("kinds").alias("kind")).where("a <> ''").distinct()
+    # both sides are read many times below: whatever they are made of is worked out once
+    left, right = through_table(left.select("a", "kinds").distinct(), "asked"), through_table(right.select("b", "kind").distinct(), "names")
+    announced = through_table(left.select("a", F.explode("kinds").alias("kind")).where("a <> ''").distinct(), "announced")
     # one search finds announced texts as they stand and with sorted words
     ls, rs = spelled(announced, "a", "x"), spelled(right, "b", "y")
-    alike = similar_pairs(ls.select(F.col("x").alias("a")), rs.select(F.col("y").alias("b")), threshold)
+    alike = candidate_pairs(ls.select(F.col("x").alias("a")), rs.select(F.col("y").alias("b")), threshold)
     alike = alike.select(F.col("a").alias("x"), F.col("b").alias("y")).join(ls, "x").join(rs, "y").select("a", "b")
     contained = containing_pairs(announced, right.select("b", "kind").where("b <> ''").distinct(), threshold)
     bare = left.groupBy("a").agg(F.max(F.size("kinds")).alias("n")).where("n <= 0").select("a")
-    cold = similar_pairs(bare, right, plain or threshold).select("a", "b")
-    both = through_table(alike.unionByName(contained).unionByName(cold).distinct(), "name-pairs")
-    ratio = both.withColumn("masks", char_masks(F.col("a"))).select("a", "b", similarity(F.col("a"), F.col("b"), F.col("masks")).alias("ratio"))
-    return ratio.withColumn("score", composite_score(F.col("a"), F.col("b"), F.col("ratio"))).where(F.col("score") >= threshold - 1e-9)
+    hot, cold = alike.unionByName(contained).distinct(), candidate_pairs(bare, right, plain or threshold)
+    # Candidates are kept before they are scored: the search then plans without the long expressions of the scores.
+    both = through_table(hot.withColumn("least", F.lit(0.0)).unionByName(cold.withColumn("least", F.lit(plain or threshold))), "name-pairs")
+    ratio = both.withColumn("masks", char_masks(F.col("a"))).select("a", "b", "least", similarity(F.col("a"), F.col("b"), F.col("masks")).alias("ratio"))
+    scored = ratio.where("ratio >= least - 1e-9").withColumn("score", composite_score(F.col("a"), F.col("b"), F.col("ratio")))
+    return scored.where(F.col("score") >= threshold - 1e-9).drop("least")
 
 
 def match_gazetteer(queries: DataFrame, entries: DataFrame) -> DataFrame:
@@ -287,8 +302,13 @@ def match_gazetteer(queries: DataFrame, entries: DataFrame) -> DataFrame:
     texts, so a phrase shared by a million queries is scored once. After a marker a name is also found by a part of it,
     if the window without its stop words scores too.
     """
-    # Scored as distinct texts and then joined back, so the windows are cut once and kept.
-    windows = through_table(text_windows(queries), "windows")
+    # Tokens are kept, one row a text. Windows are cut from them twice: as distinct texts to be scored, and again to meet
+    # the few that score, so they are never written.
+    return match_windows(token_windows(through_table(text_tokens(queries), "tokens")), entries)
+
+
+def match_windows(windows: DataFrame, entries: DataFrame) -> DataFrame:
+    """F1 for the windows of ``token_windows``."""
     named = choices(entries)
     asked = windows.select("a", F.col("types").alias("kinds")).distinct()
     pairs = composite_pairs(asked, named.select("b", F.col("type").alias("kind")), TRIGGERED_SCORE, PLAIN_SCORE)
@@ -302,6 +322,7 @@ def match_gazetteer(queries: DataFrame, entries: DataFrame) -> DataFrame:
         .where("case when short then a = b else true end")
         .where(~(F.expr(options) & ~F.col("short") & ((F.col("ratio") < OPTION_SCORE) | modifier_conflict())))
     )
+    told = through_table(told, "named-windows")
     rows = windows.join(told, "a").withColumn("hot", F.expr("array_contains(types, type)"))
     kept = rows.where(
         f"short or (score >= case when hot then {TRIGGERED_SCORE} else {PLAIN_SCORE} end"
@@ -372,6 +393,15 @@ def entity_number_spans(matches: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
+def numbered_texts(windows: DataFrame, entries: DataFrame) -> DataFrame:
+    """``query_id`` of texts in which some window with a digit may be a name with a digit: all others reserve nothing."""
+    digit = "rlike({0}, '[0-9]')"
+    named = choices(entries).where(digit.format("name")).select("b", F.col("type").alias("kind"))
+    own = windows.where(digit.format("window_text"))
+    pairs = composite_pairs(own.select("a", F.col("types").alias("kinds")).distinct(), named, TRIGGERED_SCORE, PLAIN_SCORE)
+    return own.join(pairs.select("a").distinct(), "a", "left_semi").select("query_id").distinct()
+
+
 def landmark_requirements(queries: DataFrame, landmarks: DataFrame) -> DataFrame:
     """Landmarks after a proximity marker, one per landmark and text.
 

@@ -49,11 +49,11 @@ def _prefix(df: DataFrame, text: str, rarity: DataFrame, threshold: float) -> Da
     )
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """All pairs ``(a, b, score)`` of distinct texts with similarity >= ``threshold``.
+def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """``left(a)``, ``right(b)`` -> pairs ``(a, b)`` of distinct texts, among them all with similarity >= ``threshold``.
 
-    ``left(a)``, ``right(b)``. Candidates share one of their rarest bigrams (prefix filter), which
-    loses no pair and keeps frequent bigrams out of the join; a frequent one is split by a salt.
+    Candidates share one of their rarest bigrams (prefix filter), which loses no pair and keeps frequent bigrams out of the
+    join; a frequent one is split by a salt.
     """
     if threshold < MIN_THRESHOLD:
         raise ValueError("below 67 two texts may share no bigram")
@@ -71,13 +71,17 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     )
     keys_b = _prefix(b, "b", rarity, threshold).withColumn("band", F.expr(band_of.format("b")))
     close = f"least(length(a), length(b)) * 2 >= {t:.12f} * (length(a) + length(b)) - 1e-9"
-    candidates = (
+    return (
         join_split(keys_a, keys_b, ["gram", "band"], ["b"], 20000)
         .where(close)
         .select("a", "b")
         .distinct()
     )
-    scored = candidates.withColumn("masks", char_masks(F.col("a"))).select(
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """All pairs ``(a, b, score)`` of distinct texts with similarity >= ``threshold``; ``left(a)``, ``right(b)``."""
+    scored = candidate_pairs(left, right, threshold).withColumn("masks", char_masks(F.col("a"))).select(
         "a", "b", similarity(F.col("a"), F.col("b"), F.col("masks")).alias("score")
     )
     return scored.where(F.col("score") >= threshold - 1e-9)

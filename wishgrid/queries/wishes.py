@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wishgrid.functions.text import normalize_chars
 from wishgrid.operators import extract as e
-from wishgrid.plans.parse import apply_rules, parse
+from wishgrid.plans.parse import parse, parse_wishes
 from wishgrid.queries.base import spread, table
 from wishgrid.queries.registry import query
 
@@ -257,6 +257,39 @@ def e24_assemble_criteria(spark, sf):
     )
 
 
+# Names beside what the rules understand: a complex, a county, a complex with a number, a landmark.
+_NAMED = "CASE k % 6 WHEN 0 THEN 'жк ' || p_name WHEN 1 THEN 'округ ' || r_name WHEN 2 THEN 'жк ' || lower(p_type) || ' 24' WHEN 3 THEN 'рядом с плаза ' || lower(r_name) END"
+_SQL_NAMED = f"(SELECT k, c, p_name, p_type, r_name FROM {SQL_BASE} JOIN part ON p_partkey = c JOIN region ON r_regionkey = k % 5)"
+_FOUND = "CASE k % 6 WHEN 0 THEN p_name WHEN 2 THEN lower(p_type) || ' 24' ELSE '' END AS complexes, CASE WHEN k % 6 = 1 THEN r_name ELSE '' END AS counties, CASE WHEN k % 6 = 3 THEN 'плаза ' || lower(r_name) ELSE '' END AS landmarks"
+
+
+def _with_names(spark, sf):
+    part = table(spark, sf, "part").selectExpr("p_partkey as c", "p_name", "p_type")
+    regions = table(spark, sf, "region").select("r_regionkey", "r_name")
+    keys = spread(table(spark, sf, "orders").selectExpr("o_orderkey as k", "o_custkey as c"), "k")
+    rows = keys.join(part, "c").join(regions, F.expr("k % 5 = r_regionkey"))
+    texts = rows.selectExpr("k as query_id", f"concat_ws(', ', {', '.join(PIECES)}, {_NAMED}) as text")
+    none = "cast(array() as array<string>) as aliases"
+    complexes = table(spark, sf, "part").select(F.explode(F.expr("array(p_name, lower(p_type) || ' 24')")).alias("name")).distinct()
+    entries = complexes.selectExpr("1 as ord", "'complex' as type", "name", "name as slug", "name as id", none).unionByName(
+        regions.selectExpr("2 as ord", "'county' as type", "r_name as name", "r_name as slug", "r_name as id", none)
+    )
+    landmarks = regions.selectExpr("r_regionkey as ord", "concat('плаза ', lower(r_name)) as name", none, "55.0D as lat", "37.0D as lon", "'x' as category")
+    return texts, entries, landmarks
+
+
+@query("e24_with_names", SQL_E24.replace(f"FROM {SQL_BASE}", f"FROM {_SQL_NAMED}").replace("SELECT k AS query_id,", f"SELECT k AS query_id, {_FOUND},"))
+def e24_with_names(spark, sf):
+    texts, entries, landmarks = _with_names(spark, sf)
+    out = parse_wishes(texts, YEAR, entries, landmarks)
+    return out.selectExpr(
+        "query_id", "array_join(transform(complexes, x -> x.name), ',') as complexes", "array_join(transform(counties, x -> x.name), ',') as counties",
+        "array_join(transform(coalesce(landmark_requirements, array()), x -> x.name), ',') as landmarks", "array_join(rooms, ',') as rooms",
+        "price_min", "price_max", "area_min", "area_kitchen_min", "floor_min", "floor_max", "array_join(transform(finish, f -> cast(f as string)), ',') as finish",
+        "sort", "center_requested", "cast(size(poi_requirements) as bigint) as n_poi", "cast(size(residuals) as bigint) as n_residuals",
+    )
+
+
 @query(
     "e2_parse_number",
     _q(
