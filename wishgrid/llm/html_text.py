@@ -34,6 +34,11 @@ NOISE = frozenset(
     "widget complementary contentinfo search alert dialog".split()
 )
 
+#: Names of them that also count as a part of a longer one (comments-area, share-buttons), and parts that turn it round.
+PARTS = NOISE - frozenset("header masthead side search alert dialog notice notices complementary contentinfo".split())
+TURNED = frozenset("no not non has have with without is enable enabled disabled allow".split())
+COMMENTS = frozenset("comment comments reply replies disqus".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|title|textarea|noscript|iframe|template)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -44,44 +49,60 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 _NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 
 
+KEEP, NAMED, LEAVE, PARTLY, REMARKS = range(5)
+
+
 def _noise(name: str, attributes: str) -> int:
-    """2: left out in any case, 1: left out unless it holds most of the page's text, 0: kept."""
+    """What to do with an element: KEEP, LEAVE, or judge it by its text: NAMED, by a part of its name PARTLY, REMARKS."""
     if name in LEFT_OUT:
-        return 2
+        return LEAVE
     if not attributes and name != "form" or name in ("html", "body"):
-        return 0
+        return KEEP
     own: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(attributes):
         own.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     if "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true" or _NOT_SHOWN.search(own.get("style", "")):
-        return 2
+        return LEAVE
     if name in ("article", "main"):
-        return 0
-    words = (w for key in ("class", "id", "role") for w in own.get(key, "").lower().split())
-    return int(name == "form" or any(w in NOISE for w in words))
-
-
-def lines(html: str) -> list[tuple[str, int, bool]]:
-    """Lines of the page without markup: text, characters inside links, in the article.
+        return KEEP
+    words = [w for key in ("class", "id", "role") for w in own.get(key, "").split()]
+    names = {w.lower() for w in words}
+    parts = set()
+    for w in words:
+        some = {p.lower() for p in _PARTS.split(w)}
+        parts |= some if len(some) > 1 and not some & TURNED else set()
+    if names & COMMENTS or parts & COMMENTS:
+        return REMARKS
+    if name == "form" or names & NOISE:
+        return NAMED
+    return PARTLY if parts & PARTS else KEEP
+
+
+def lines(html: str) -> list[tuple[str, int, int]]:
+    """Lines of the page without markup: text, characters inside links, number of the article (0: outside).
 
     A line without text is there only for what is left out, not for tags that follow each other. Forms and elements
     left out by name stay if they hold <main> or at least half of the text outside links and other left-out elements;
-    beside an article with text, half is not enough if it would not make a surge.
+    beside an article with text, half is not enough if it would not make a surge. Where only a part of the name speaks
+    against an element, it goes if most of it is links, if it would not make a surge, or outside an article if it holds less
+    than a quarter of that text. Readers' comments go whatever they hold, once text that would make a surge stands before.
     """
-    out: list[tuple[list[tuple[str, int, int]], bool, bool]] = []
+    out: list[tuple[list[tuple[str, int, int]], bool, int]] = []
     open_tags: list[str] = []
     doubtful: list[tuple[int, int]] = []  # depth and number of the open elements that are left out by name or as forms
     outer, weight, holds_main = [-1], [0], [True]  # by number; 0 is the page
+    linked, kind, before, within, articles = [0], [KEEP], [0], [False], 0
     noise_at = article_at = 1 << 30
     links, pieces, at, left_out, article = 0, [], 0, False, False
 
     def flush() -> None:
         nonlocal pieces, left_out
         if pieces or left_out:
-            out.append((pieces, left_out, article_at < 1 << 30))
+            out.append((pieces, left_out, articles if article_at < 1 << 30 else 0))
         pieces, left_out = [], False
 
     def add(piece: str) -> None:
@@ -89,6 +110,7 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
         k = doubtful[-1][1] if doubtful else 0
         pieces.append((piece, len(piece) * (links > 0), k))
         weight[k] += len(piece.strip()) * (links == 0)
+        linked[k] += len(piece.strip()) * (links > 0)
         article = article or k == 0 and article_at < 1 << 30 and not piece.isspace()
 
     def pop(to: int) -> None:
@@ -129,18 +151,22 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
                     break
         if (m[4] or m[7] or "").rstrip().endswith("/") and name not in BLOCKS:
             continue
-        noise = _noise(name, m[4] or m[7] or "") if noise_at == 1 << 30 else 0
-        if noise == 2:
+        noise = _noise(name, m[4] or m[7] or "") if noise_at == 1 << 30 else KEEP
+        if noise == LEAVE:
             noise_at = len(open_tags)
-        elif noise == 1:
+        elif noise != KEEP:
             outer.append(doubtful[-1][1] if doubtful else 0)
+            before.append(weight[0])
+            within.append(article_at < 1 << 30)
+            kind.append(noise)
+            linked.append(0)
             weight.append(0)
             holds_main.append(False)
             doubtful.append((len(open_tags), len(outer) - 1))
         elif name == "main" and noise_at == 1 << 30 and doubtful:
             holds_main[doubtful[-1][1]] = True
         if article_at == 1 << 30 and name in ("article", "main") and noise_at == 1 << 30:
-            article_at = len(open_tags)
+            article_at, articles = len(open_tags), articles + 1
         links += name == "a"
         open_tags.append(name)
     if noise_at == 1 << 30:
@@ -148,10 +174,18 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
     flush()
     for k in range(len(outer) - 1, 0, -1):
         weight[outer[k]] += weight[k]
+        linked[outer[k]] += linked[k]
         holds_main[outer[k]] |= holds_main[k]
     stays = [True]
     for k in range(1, len(outer)):
-        stays.append(stays[outer[k]] and (holds_main[k] or weight[k] >= max(weight[0] / 2, SURGE if article else 1)))
+        most = weight[k] >= max(weight[0] / 2, SURGE if article else 1)
+        if kind[k] == REMARKS and before[k] >= SURGE:
+            own = False
+        elif kind[k] == PARTLY:
+            own = most or not (linked[k] >= weight[k] or weight[k] < SURGE or not within[k] and 4 * weight[k] < weight[0])
+        else:
+            own = most
+        stays.append(stays[outer[k]] and (holds_main[k] or own))
     told = []
     for own, gone, inside in out:
         text = " ".join(unescape("".join(p for p, _, k in own if stays[k])).split())
@@ -164,10 +198,10 @@ def main_blocks(html: str) -> list[str]:
     """Blocks of the main text in page order.
 
     Text lengths are summed over windows of lines; lines that are left out (menus, adverts, scripts and so on) count
-    as empty. Where the article holds at least half of the text outside links, so does what lies outside it, and all
-    of the article is kept; elsewhere lines outside an article that are mostly links count as empty, and from a surge
-    the text runs back and on to the dives, windows without text, and all lines between are kept, as are those
-    between two surges.
+    as empty, as do lines that are mostly links outside an article. From a surge the text runs back and on to the
+    dives, windows without text, and all lines between are kept, as are those between two surges. Tags only weigh:
+    lines of an article are one text, kept if it has a surge, be there dives in it or not; and where articles hold at least
+    half of the text outside links, lines outside them count as empty.
     """
     found = lines(html)
     plain = [max(len(t) - n, 0) for t, n, _ in found]
@@ -177,25 +211,22 @@ def main_blocks(html: str) -> list[str]:
     size = [len(t) for t in kept]
     sums = [sum(size[k : k + WINDOW]) for k in range(len(size))]
     surge = min(SURGE, max(sums, default=0) / 2)
-    blocks: list[str] = []
-    region: list[str] = []
-    waiting: list[str] = []
+    regions: list[tuple[list[int], bool]] = []  # lines between two dives, with a surge or not
+    region: list[int] = []
     surged, empty = False, 0
-    for text, total in zip([*kept, *[""] * WINDOW], [*sums, *[0] * WINDOW], strict=True):
-        if text:
-            region.append(text)
-            empty = 0
+    for k in range(len(kept) + WINDOW):
+        if k < len(kept) and kept[k]:
+            region.append(k)
+            surged, empty = surged or sums[k] >= surge, 0
         else:
             empty += 1
-        surged = surged or bool(region) and total > 0 and total >= surge
         if empty >= WINDOW and region:
-            if surged or article:
-                blocks += waiting + region
-                waiting = []
-            elif blocks:
-                waiting += region
+            regions.append((region, surged))
             region, surged = [], False
-    return blocks
+    main = {found[k][2] for own, high in regions if high for k in own if found[k][2]}
+    taken = [high or any(found[k][2] in main for k in own) for own, high in regions]
+    first, last = (taken.index(True), len(taken) - 1 - taken[::-1].index(True)) if any(taken) else (0, -1)
+    return [kept[k] for own, _ in regions[first : last + 1] for k in own]
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
