@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wishgrid.llm import conversations, langid, line_dedup, spelling, token_files, toxicity
+from wishgrid.llm import conversations, html_text, langid, line_dedup, spelling, token_files, toxicity
 from wishgrid.llm.queries import QUERIES
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -235,3 +235,59 @@ def test_lines_without_threshold(spark):
 def test_token_file_ids(spark, tmp_path):
     with pytest.raises(ValueError):
         token_files.write_tokens(spark.createDataFrame([("a", "b")], "doc_id string, text string"), str(tmp_path / "t"))
+
+
+def brute_line_blocks(lengths):
+    """Lines kept by surges and dives: line k counts ``lengths[k]`` characters, 0 is a line without text."""
+    sums = [sum(lengths[k : k + 3]) for k in range(len(lengths))]
+    surge = min(80, max(sums, default=0) / 2)
+    dives = [all(n == 0 for n in lengths[k : k + 3]) and k + 3 <= len(lengths) for k in range(len(lengths))]
+    inside = [not any(dives[max(0, k - 2) : k + 1]) for k in range(len(lengths))]
+    groups, last = [], None
+    for k, n in enumerate(lengths):
+        if not inside[k]:
+            last = None
+        elif last is None:
+            last = [k]
+            groups.append(last)
+        else:
+            last.append(k)
+    groups = [[k for k in g] for g in groups if any(lengths[k] for k in g)]
+
+    def high(group):
+        first = min(k for k in group if lengths[k])
+        return any(sums[k] >= surge > 0 for k in range(first, group[-1] + 1))
+
+    marks = [high(g) for g in groups]
+    if not any(marks):
+        return []
+    lowest, highest = marks.index(True), len(marks) - 1 - marks[::-1].index(True)
+    return [k for g in groups[lowest : highest + 1] for k in g if lengths[k]]
+
+
+def test_line_blocks_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(400):
+        lengths = [rng.choice([0, 0, 0, 0, 7, 12, 30, 60, 140]) for _ in range(rng.randint(0, 25))]
+        page = "".join(f"<p>{str(k).ljust(n, 'x')}</p>" if n else "<nav>m</nav>" for k, n in enumerate(lengths))
+        got = [int(re.match(r"\d+", b)[0]) for b in html_text.main_blocks(f"<body>{page}</body>")]
+        assert got == brute_line_blocks(lengths), lengths
+
+
+def test_html_surges_decide_in_articles():
+    long = "<p>" + "words of the story " * 8 + "</p>"
+    gap = "<nav>m</nav>" * 4
+    several = f"<article><h1>title</h1>{gap}{long}{gap}<p>end</p></article>{gap}<article><p>teaser</p></article>"
+    assert [b[:5] for b in html_text.main_blocks(several)] == ["title", "words", "end"]
+    assert html_text.main_blocks(f"<div><article><p>teaser</p></article>{gap}<div>{long * 3}</div></div>") == ["words of the story " * 7 + "words of the story"] * 3
+
+
+def test_html_compound_names():
+    long = "<p>" + "words of the story " * 8 + "</p>"
+    story = ["words of the story " * 7 + "words of the story"]
+    for extra in ("<div class='comments-area'><p>%s</p></div>" % ("reader says this " * 40), "<section id='post-comments'>first!</section>", "<ul class='share-buttons'><li>tweet</ul>", "<div class='related-posts'><a href='/'>more of this kind</a></div>", "<div class='commentList'>me too</div>"):
+        assert html_text.main_blocks(f"<article>{long}{extra}</article>") == story
+        assert html_text.main_blocks(f"<div>{long}</div>{extra}") == story
+    for name in ("has-sidebar", "no-comments", "page with-nav", "social-history"):
+        assert html_text.main_blocks(f"<div class='{name}'>{long}</div>") == story
+    assert html_text.main_blocks(f"<article>{long}<div class='social-history'>{long}</div></article>") == story * 2
