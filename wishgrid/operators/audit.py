@@ -39,10 +39,13 @@ def check_criteria(criteria: DataFrame) -> DataFrame:
     return criteria.selectExpr("query_id", f"explode({breaches(criteria.columns)}) as field")
 
 
-def dedupe_requirements(requirements: DataFrame, keys: list[str]) -> DataFrame:
-    """Least distance per (key, category, new); NULL only where no distance is stated."""
+def dedupe_requirements(requirements: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Least distance per (key, category, new); NULL only where no distance is stated.
+
+    The phrase is the first by ``order`` (equal ones: by the phrase), wherever the least distance stands.
+    """
     return requirements.groupBy(*keys, "category", "only_new").agg(
-        F.min("max_distance_m").alias("max_distance_m"), F.min("raw_phrase").alias("raw_phrase")
+        F.min("max_distance_m").alias("max_distance_m"), F.min(F.struct(order, "raw_phrase")).getField("raw_phrase").alias("raw_phrase")
     )
 
 

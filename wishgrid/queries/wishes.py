@@ -181,14 +181,16 @@ def e17_center_requested(spark, sf):
 @query(
     "a25_dedupe_poi_requirements",
     f"""WITH base AS {SQL_BASE}, p AS ({SQL_POI}), t AS (SELECT (query_id % 100) AS group_id, * FROM p)
-SELECT group_id, category, only_new, min(max_distance_m)::INT AS max_distance_m FROM t GROUP BY ALL""",
+SELECT group_id, category, only_new, min(max_distance_m)::INT AS max_distance_m, min(query_id) AS first_query FROM t GROUP BY ALL""",
 )
 def a25_dedupe_poi_requirements(spark, sf):
     from wishgrid.operators.audit import dedupe_requirements
 
-    rows = e.poi_requirements(normed(spark, sf)).selectExpr("query_id % 100 as group_id", "inline_outer(poi_requirements)")
-    rows = rows.where("category is not null")
-    return dedupe_requirements(rows, ["group_id"]).drop("raw_phrase")
+    # the phrase tells which wish it came from
+    rows = e.poi_requirements(normed(spark, sf)).selectExpr("query_id", "query_id % 100 as group_id", "inline_outer(poi_requirements)")
+    rows = rows.where("category is not null").withColumn("raw_phrase", F.concat_ws(" ", F.md5(F.col("query_id").cast("string")), "query_id"))
+    out = dedupe_requirements(rows, ["group_id"], "query_id")
+    return out.selectExpr("group_id", "category", "only_new", "max_distance_m", "cast(split(raw_phrase, ' ')[1] as bigint) as first_query")
 
 
 @query("e19_superlative_cue", _q("k % 13 = 3 AS cue"))
@@ -196,17 +198,17 @@ def e19_superlative_cue(spark, sf):
     return normed(spark, sf).selectExpr("query_id", f"{e.superlative_cue()} as cue")
 
 
+# A coloured line right behind the ring road (within 22 characters) is a road.
+_COLOURED = "left(t, instr(t, 'фиолетовая ветка') - 1)"
+
+
 @query(
     "e20_station_class_requirements",
     f"""SELECT k AS query_id, CASE k % 15 WHEN 0 THEN 'МЦД-' || (1 + c % 4) WHEN 1 THEN 'метро' ELSE 'Таганско-Краснопресненская' END AS line_prefix
-FROM {SQL_BASE} WHERE k % 15 <= 2""",
+FROM (SELECT k, c, {TEXT} AS t FROM {SQL_BASE}) WHERE k % 15 <= 2 AND NOT (k % 15 = 2 AND contains(right({_COLOURED}, 22), 'мкад'))""",
 )
 def e20_station_class_requirements(spark, sf):
-    # The ring road right before a coloured line would make it a road; these wishes keep them apart.
-    rows = table(spark, sf, "orders").selectExpr("o_orderkey as k", "o_custkey as c")
-    kept = [p for i, p in enumerate(PIECES) if i not in (8,)]
-    texts = rows.selectExpr("k as query_id", f"concat_ws(', ', {', '.join(kept)}) as text")
-    out = e.station_classes(texts.withColumn("norm", normalize_chars("text")), ["Сокольническая", "Таганско-Краснопресненская"])
+    out = e.station_classes(normed(spark, sf), ["Сокольническая", "Таганско-Краснопресненская"])
     return out.selectExpr("query_id", "inline_outer(station_class_requirements)").where("line_prefix is not null").select("query_id", "line_prefix")
 
 
