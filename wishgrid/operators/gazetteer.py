@@ -238,10 +238,10 @@ def containing_pairs(left: DataFrame, right: DataFrame, threshold: float) -> Dat
     def worded(df: DataFrame, text: str) -> DataFrame:
         return df.select("kind", text, F.explode(F.array_distinct(F.split(text, " "))).alias("word")).where("word <> ''").distinct()
 
-    by_word = join_split(worded(left, "a"), worded(right, "b"), ["kind", "word"], ["b"]).select("a", "b")
-    both = by_word.distinct()
+    by_word = join_split(worded(left, "a"), worded(right, "b"), ["kind", "word"], ["b"]).select("a", "b").distinct()
+    both = through_table(by_word, "name-words")
     for short, long, own, other in ((left, right, "a", "b"), (right, left, "b", "a")):
-        both = both.unionByName(_pieces(short, long, own, other, threshold).select("a", "b"))
+        both = both.unionByName(through_table(_pieces(short, long, own, other, threshold).select("a", "b"), "name-pieces"))
     return both.distinct()
 
 
@@ -285,10 +285,12 @@ def composite_pairs(left: DataFrame, right: DataFrame, threshold: float, plain:
     ls, rs = spelled(announced, "a", "x"), spelled(right, "b", "y")
     alike = candidate_pairs(ls.select(F.col("x").alias("a")), rs.select(F.col("y").alias("b")), threshold)
     alike = alike.select(F.col("a").alias("x"), F.col("b").alias("y")).join(ls, "x").join(rs, "y").select("a", "b")
+    alike = through_table(alike, "name-pairs")
     contained = containing_pairs(announced, right.select("b", "kind").where("b <> ''").distinct(), threshold)
     bare = left.groupBy("a").agg(F.max(F.size("kinds")).alias("n")).where("n <= 0").select("a")
     hot, cold = alike.unionByName(contained).distinct(), candidate_pairs(bare, right, plain or threshold)
-    # Candidates are kept before they are scored: the search then plans without the long expressions of the scores.
+    # Each search is a table of its own and candidates are kept before they are scored: run-time planning looks again at
+    # all that is still to come whenever a stage ends, so one plan of all searches and scores takes longer to plan than to run.
     both = through_table(hot.withColumn("least", F.lit(0.0)).unionByName(cold.withColumn("least", F.lit(plain or threshold))), "name-pairs")
     ratio = both.withColumn("masks", char_masks(F.col("a"))).select("a", "b", "least", similarity(F.col("a"), F.col("b"), F.col("masks")).alias("ratio"))
     scored = ratio.where("ratio >= least - 1e-9").withColumn("score", composite_score(F.col("a"), F.col("b"), F.col("ratio")))
