@@ -466,11 +466,13 @@ def alias_coverage(entries: DataFrame, forms: DataFrame, threshold: float = ru.L
     asked = forms.select(F.col("slug").alias("own"), normalize_key("form").alias("a")).where("a <> ''").distinct()
     fresh = asked.join(keys.select(F.col("slug").alias("own"), F.col("b").alias("a")).distinct(), ["own", "a"], "left_anti")
     spelled = keys.groupBy("b").agg(F.min_by(F.struct("ord", "slug"), "ord").alias("first"))
+    any_kind = F.lit("name")
     best = (
-        similar_pairs(fresh.select("a"), keys.select("b"), threshold)
+        composite_pairs(fresh.select("a", F.array(any_kind).alias("kinds")), keys.select("b", any_kind.alias("kind")), threshold)
         .join(spelled, "b")
         .groupBy("a")
-        .agg(F.max_by(F.struct("first.slug", "score"), F.struct("score", -F.col("first.ord"))).alias("m"))
+        .agg(F.max_by(F.struct("first.slug", "score", "ratio"), F.struct("score", -F.col("first.ord"))).alias("m"))
+        .where(F.col("m.ratio") >= threshold - 1e-9)
     )
     foreign = fresh.join(keys.select(F.col("b").alias("a"), "slug").distinct(), "a").where("slug <> own").select("own", "a").distinct()
     return (

@@ -63,31 +63,6 @@ def f9_nearest_forms(spark, sf):
     return out.selectExpr("a", "b", "round(score, 4) as score", "cast(rank as bigint) as rank")
 
 
-SQL_COVER = f"""entries AS (SELECT min(p_partkey) AS ord, p_name AS slug, {sql_key('p_name')} AS b FROM part GROUP BY p_name),
-asked AS (SELECT DISTINCT p_name AS own, {sql_key("replace(p_name, substring(p_name, (p_partkey % 5 + 1)::INT, 1), CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'qq' END)")} AS a FROM part),
-fresh AS (SELECT * FROM asked WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.slug = own AND e.b = a) AND a <> ''),
-pairs AS (SELECT DISTINCT f.a, e.slug, e.ord, CASE WHEN f.a = e.b THEN 100.0 ELSE {sql_similarity('f.a', 'e.b')} END AS score FROM fresh f, entries e),
-best AS (SELECT a, arg_max(slug, (score, -ord)) AS slug, max(score) AS score FROM pairs WHERE score >= 88 - 1e-9 GROUP BY a)"""
-
-
-@query(
-    "f8_alias_coverage",
-    with_sql(SQL_COVER)
-    + """SELECT own AS slug, f.a AS form, round(score, 4) AS score, CASE WHEN b.slug = own THEN 'ok' WHEN b.slug IS NOT NULL OR EXISTS (SELECT 1 FROM entries e WHERE e.b = f.a AND e.slug <> own)
- THEN 'collision' ELSE 'missing' END AS status FROM fresh f LEFT JOIN best b ON b.a = f.a""",
-)
-def f8_alias_coverage(spark, sf):
-    part = table(spark, sf, "part")
-    entries = part.groupBy("p_name").agg(F.min("p_partkey").alias("ord")).selectExpr(
-        "ord", "p_name as slug", "p_name as name", "cast(array() as array<string>) as aliases"
-    )
-    forms = part.selectExpr(
-        "p_name as slug", "replace(p_name, substring(p_name, cast(p_partkey % 5 + 1 as int), 1), case when p_partkey % 3 = 0 then '' else 'qq' end) as form"
-    )
-    out = gz.alias_coverage(entries, forms)
-    return out.selectExpr("slug", "form", "round(score, 4) as score", "status")
-
-
 # --- names in texts: an order asks for the label of a part ------------------------------------------
 
 _PART = "list_max(list_transform(range(2 - length({s}), length({l}) + 1), lambda q: {sim}))"
@@ -117,6 +92,33 @@ worded AS (SELECT *, CASE WHEN w <> '' AND (ra = '' OR rb = '') THEN 100.0 ELSE
 composite AS (SELECT a, b, ratio, greatest(ratio, CASE WHEN a = b THEN 100.0 WHEN times < 1.5 THEN 0.95 * greatest(by_sort, by_set)
   ELSE (CASE WHEN times <= 8 THEN 0.9 ELSE 0.6 END) * greatest({_sql_partial('a', 'b')}, 0.95 * CASE WHEN w <> '' THEN 100.0 ELSE {_sql_partial('sa', 'sb')} END) END) AS score FROM worded)"""
 
+SQL_COVER = f"""entries AS (SELECT min(p_partkey) AS ord, p_name AS slug, {sql_key('p_name')} AS b FROM part GROUP BY p_name),
+asked AS (SELECT DISTINCT p_name AS own, {sql_key("replace(p_name, substring(p_name, (p_partkey % 5 + 1)::INT, 1), CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'qq' END)")} AS a FROM part),
+fresh AS (SELECT * FROM asked WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.slug = own AND e.b = a) AND a <> ''),
+pairs AS (SELECT DISTINCT f.a, e.b FROM fresh f, entries e),
+{SQL_COMPOSITE},
+best AS (SELECT * FROM (SELECT a, arg_max(slug, (score, -ord)) AS slug, max(score) AS score, arg_max(ratio, (score, -ord)) AS ratio
+  FROM composite JOIN entries USING (b) WHERE score >= 88 - 1e-9 GROUP BY a) WHERE ratio >= 88 - 1e-9)"""
+
+
+@query(
+    "f8_alias_coverage",
+    with_sql(SQL_COVER)
+    + """SELECT own AS slug, f.a AS form, round(score, 4) AS score, CASE WHEN b.slug = own THEN 'ok' WHEN b.slug IS NOT NULL OR EXISTS (SELECT 1 FROM entries e WHERE e.b = f.a AND e.slug <> own)
+ THEN 'collision' ELSE 'missing' END AS status FROM fresh f LEFT JOIN best b ON b.a = f.a""",
+)
+def f8_alias_coverage(spark, sf):
+    part = table(spark, sf, "part")
+    entries = part.groupBy("p_name").agg(F.min("p_partkey").alias("ord")).selectExpr(
+        "ord", "p_name as slug", "p_name as name", "cast(array() as array<string>) as aliases"
+    )
+    forms = part.selectExpr(
+        "p_name as slug", "replace(p_name, substring(p_name, cast(p_partkey % 5 + 1 as int), 1), case when p_partkey % 3 = 0 then '' else 'qq' end) as form"
+    )
+    out = gz.alias_coverage(entries, forms)
+    return out.selectExpr("slug", "form", "round(score, 4) as score", "status")
+
+
 # What is asked: the name, near names, its first word, its words turned round with another, a foreign name.
 _ASKED = [
     "p_name", "p_name || 's'", "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1)",
