@@ -25,26 +25,16 @@ def canonical_json(c: Column | str) -> Column:
     return F.coalesce(F.to_json(F.try_parse_json(text)), text)
 
 
-def fold_facts(
-    observations: DataFrame, keys: list[str] | None = None, chunk_seconds: int = 86400
-) -> DataFrame:
-    """A4: one row per fact from ordered observations; values are compared as JSON, not as text.
-
-    ``observations(subject_type, subject_id, fact_type, fact_value, source, confidence,
-    observed_at, event_order)``. Kept: latest value and source, number of observations, first and
-    last time, number of value changes, and the greatest confidence of the trailing run of equal
-    values.
+def slice_facts(observations: DataFrame, keys: list[str] | None = None, chunk_seconds: int = 86400) -> DataFrame:
+    """One row per fact and slice of time (``chunk``): what its ordered observations add to the fold.
 
-    A fact seen by a third of all rows is not sorted in one task: every key is cut into slices of
-    time, each slice is folded by itself, and only slice summaries meet per key.
+    A slice holds its number of rows and value changes, first and last time, its first value and, as
+    ``tail``, the latest observation and the greatest confidence of the trailing run of equal values.
     """
     keys = keys or FACT_KEY
     chunk = [*keys, "chunk"]
     in_chunk = Window.partitionBy(*chunk).orderBy("observed_at", "event_order")
-    rows = observations.withColumn(
-        "chunk", F.expr(f"cast(floor(unix_seconds(cast(observed_at as timestamp)) / {chunk_seconds}) as bigint)")
-    )
-    rows = rows.withColumn("_value", canonical_json("fact_value"))
+    rows = with_chunk(observations, chunk_seconds).withColumn("_value", canonical_json("fact_value"))
     previous = F.lag("_value").over(in_chunk)
     marked = rows.withColumn(
         "changed",
@@ -58,7 +48,7 @@ def fold_facts(
         F.expr("max_by(struct(fact_value, source, _value), struct(observed_at, event_order))").alias("latest"),
         F.first("_value").alias("run_value"),
     )
-    slices = runs.groupBy(*chunk).agg(
+    return runs.groupBy(*chunk).agg(
         F.sum("n").alias("n"),
         F.max("run").alias("changes"),
         F.min("first_seen_at").alias("first_seen_at"),
@@ -66,6 +56,21 @@ def fold_facts(
         F.expr("min_by(run_value, run)").alias("first_value"),
         F.expr("max_by(struct(latest, run_confidence), run)").alias("tail"),
     )
+
+
+def with_chunk(observations: DataFrame, chunk_seconds: int) -> DataFrame:
+    """Adds ``chunk``, the number of the slice of time that holds the observation."""
+    seconds = f"unix_seconds(cast(observed_at as timestamp)) / {chunk_seconds}"
+    return observations.withColumn("chunk", F.expr(f"cast(floor({seconds}) as bigint)"))
+
+
+def join_slices(slices: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """All slices of a fact as a single one, under its latest ``chunk``.
+
+    The result has the columns of ``slice_facts`` and can meet later slices again: joining is
+    associative, so a fact can be folded piece by piece.
+    """
+    keys = keys or FACT_KEY
     over_key = Window.partitionBy(*keys).orderBy("chunk")
     before = F.lag("tail.latest._value").over(over_key)
     stitched = (
@@ -76,32 +81,56 @@ def fold_facts(
         .withColumn("segment", F.sum(F.col("broken").cast("int")).over(over_key))
     )
     segments = stitched.groupBy(*keys, "segment").agg(
+        F.max("chunk").alias("chunk"),
         F.sum("n").alias("n"),
-        F.expr("sum(changes + seam)").alias("conflicts"),
+        F.expr("sum(changes + seam)").alias("changes"),
         F.min("first_seen_at").alias("first_seen_at"),
         F.max("last_confirmed_at").alias("last_confirmed_at"),
-        F.max("tail.run_confidence").alias("confidence"),
+        F.expr("min_by(first_value, chunk)").alias("first_value"),
         F.expr("max_by(tail.latest, chunk)").alias("latest"),
+        F.max("tail.run_confidence").alias("run_confidence"),
     )
-    folded = segments.groupBy(*keys).agg(
-        F.expr("max_by(struct(latest, confidence), segment)").alias("last"),
-        F.sum("n").alias("observed_count"),
-        F.sum("conflicts").alias("conflicts"),
+    return segments.groupBy(*keys).agg(
+        F.max("chunk").alias("chunk"),
+        F.sum("n").alias("n"),
+        F.sum("changes").alias("changes"),
         F.min("first_seen_at").alias("first_seen_at"),
         F.max("last_confirmed_at").alias("last_confirmed_at"),
+        F.expr("min_by(first_value, segment)").alias("first_value"),
+        F.expr("max_by(struct(latest, run_confidence), segment)").alias("tail"),
     )
-    return folded.select(
-        *keys,
-        F.col("last.latest.fact_value").alias("fact_value"),
-        F.col("last.latest.source").alias("source"),
-        F.col("last.confidence").alias("confidence"),
-        "observed_count",
-        "conflicts",
+
+
+def folded_slices(slices: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The folded facts (A4) of a table of slices."""
+    return join_slices(slices, keys).select(
+        *(keys or FACT_KEY),
+        F.col("tail.latest.fact_value").alias("fact_value"),
+        F.col("tail.latest.source").alias("source"),
+        F.col("tail.run_confidence").alias("confidence"),
+        F.col("n").alias("observed_count"),
+        F.col("changes").alias("conflicts"),
         "first_seen_at",
         "last_confirmed_at",
     )
 
 
+def fold_facts(
+    observations: DataFrame, keys: list[str] | None = None, chunk_seconds: int = 86400
+) -> DataFrame:
+    """A4: one row per fact from ordered observations; values are compared as JSON, not as text.
+
+    ``observations(subject_type, subject_id, fact_type, fact_value, source, confidence,
+    observed_at, event_order)``. Kept: latest value and source, number of observations, first and
+    last time, number of value changes, and the greatest confidence of the trailing run of equal
+    values.
+
+    A fact seen by a third of all rows is not sorted in one task: every key is cut into slices of
+    time, each slice is folded by itself, and only slice summaries meet per key.
+    """
+    return folded_slices(slice_facts(observations, keys, chunk_seconds), keys)
+
+
 def promotable_facts(
     facts: DataFrame, n: int = MIN_OBSERVATIONS, c: float = MIN_CONFIDENCE
 ) -> DataFrame:
