@@ -215,34 +215,122 @@ def min_distance(candidates: DataFrame, anchors: DataFrame) -> DataFrame:
     )
 
 
-RING_BAND_DEG = 0.01
+RING_CELLS = 16  # least number of cells along the longer side of a ring
+RING_SLACK_DEG = 1e-9  # widens the cells of an edge beyond rounding, never the ring
+RING_LEVELS = (-24, 9)  # cells are 2**level degrees wide
+RING_KEYS = ["level", "row", "col"]
+
+
+def _lon_at(lat: Column) -> Column:
+    """Where the edge meets a parallel; NULL for an edge along a parallel."""
+    share = (lat - F.col("lat1")) / F.nullif(F.col("lat2") - F.col("lat1"), F.lit(0.0))
+    return F.col("lon1") + share * (F.col("lon2") - F.col("lon1"))
+
+
+def _crosses(lat: Column) -> Column:
+    return (F.col("lat1") > lat) != (F.col("lat2") > lat)
+
+
+def _levelled(edges: DataFrame) -> DataFrame:
+    """Adds ``level`` and ``w``, the width of the cells of a ring: about four times the root of its edges along a side.
+
+    So a ring has cells in proportion to its edges, and the edges of a cell grow with the root only.
+    """
+    ends = [F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]
+    whole = F.lit(True)
+    for end in ends:
+        whole &= end.isNotNull() & ~F.isnan(end) & (F.abs(end) <= 360.0)
+    extent = F.greatest(F.max("lat1") - F.min("lat1"), F.max("lon1") - F.min("lon1"))
+    side = F.greatest(F.lit(float(RING_CELLS)), 4 * F.sqrt(F.count(F.lit(1))))
+    low, high = RING_LEVELS
+    level = F.least(F.greatest(F.ceil(F.log2(extent / side)), F.lit(low)), F.lit(high)).cast("int")
+    widths = (
+        edges.groupBy("ring_id")
+        .agg(level.alias("level"), F.bool_and(whole).alias("whole"), extent.alias("extent"))
+        .where("whole and extent > 0")
+        .select("ring_id", "level", F.pow(F.lit(2.0), F.col("level")).alias("w"))
+    )
+    return edges.select("ring_id", "lat1", "lon1", "lat2", "lon2").join(widths, "ring_id")
+
+
+def ring_cover(edges: DataFrame) -> DataFrame:
+    """Rings as cells ``(level, row, col)``: what decides whether a point of the cell is inside.
+
+    A row without an edge says that the south-east corner of the cell is inside; every edge that
+    comes near a cell is a row of it. A cell without any row is outside, one with the corner alone is inside.
+    """
+    low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
+    w = F.col("w")
+    ring = _levelled(edges)
+    rows = F.sequence(F.floor((low - RING_SLACK_DEG) / w), F.floor((high + RING_SLACK_DEG) / w))
+    by_row = ring.withColumn("row", F.explode(rows))
+    # The part of the edge that lies in the row of cells.
+    ends = [F.least(F.greatest((F.col("row") + i) * w, low), high) for i in (0, 1)]
+    flat = F.col("lat1") == F.col("lat2")
+    at = [F.when(flat, F.col(c)).otherwise(_lon_at(e)) for c, e in zip(("lon1", "lon2"), ends, strict=True)]
+    near = F.sequence(
+        F.floor((F.least(*at) - RING_SLACK_DEG) / w), F.floor((F.greatest(*at) + RING_SLACK_DEG) / w)
+    )
+    kept = ["ring_id", *RING_KEYS, "w", "lat1", "lon1", "lat2", "lon2"]
+    bordering = by_row.withColumn("col", F.explode(near)).select(*kept)
+    # Corners: along the base of a row of cells a ring is inside between every other pair of crossings.
+    base = F.col("row") * w
+    eastward = Window.partitionBy("ring_id", "row").orderBy(F.desc("x"))
+    between = (
+        by_row.where(_crosses(base))
+        .select("ring_id", "level", "w", "row", _lon_at(base).alias("x"))
+        .withColumn("n", F.row_number().over(eastward))
+        .withColumn("west", F.lead("x").over(eastward))
+        .where("n % 2 = 1")
+    )
+    first, last = F.ceil(F.col("west") / w) - 1, F.ceil(F.col("x") / w) - 2
+    inside = between.where(first <= last).withColumn("col", F.explode(F.sequence(first, last)))
+    return bordering.unionByName(inside.select("ring_id", *RING_KEYS, "w"), allowMissingColumns=True)
 
 
 def rings_containing(points: DataFrame, edges: DataFrame) -> DataFrame:
     """J8 for many rings: the ``(lat, lon, ring_id)`` of every point inside a ring.
 
-    Even-odd ray cast with a half-open latitude test. Both sides meet in bands of latitude, so
-    rings of any size and number are handled by an equi-join on distinct coordinates.
+    ``edges(ring_id, lat1, lon1, lat2, lon2)`` of closed rings; several loops of one ring follow the
+    even-odd rule, with a half-open test of latitude. Points meet only the cells of a ring (see ``ring_cover``): inside it
+    one row answers, at its border the few edges near by. From the corner of the cell, whose side is known, the path to the point goes along the
+    cell's east side and then west; every edge crossed changes the side. A crossing is always judged by the edge's
+    longitude at the point's or the corner's latitude, so the answer equals that of a ray
+    to infinity, to the last bit. Cells with many points are split by a salt.
+
+    Points without coordinates are in no ring, nor is any point in a ring with an edge that has a null or not
+    finite coordinate. Repeated points are tested once.
     """
-    low = F.least("lat1", "lat2")
-    high = F.greatest("lat1", "lat2")
-    bands = F.sequence(F.floor(low / RING_BAND_DEG), F.floor(high / RING_BAND_DEG))
-    banded = edges.where(F.col("lat1") != F.col("lat2")).withColumn("band", F.explode(bands))
-    spots = (
-        points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-        .select("lat", "lon")
-        .distinct()
+    spots = points.where("lat is not null and lon is not null").select("lat", "lon").distinct()
+    cover = ring_cover(edges)
+    # At most as many numbers as there are levels.
+    levels = [r.level for r in _levelled(edges).select("level").distinct().collect()]
+    if not levels:
+        return spots.limit(0).join(edges.select("ring_id").limit(0))
+    width = F.pow(F.lit(2.0), F.col("level"))
+    placed = spots.withColumn("level", F.explode(F.array(*[F.lit(level) for level in sorted(levels)]))).select(
+        "lat", "lon", "level", F.floor(F.col("lat") / width).alias("row"), F.floor(F.col("lon") / width).alias("col")
     )
-    crosses = (F.col("lat1") > F.col("lat")) != (F.col("lat2") > F.col("lat"))
-    share = (F.col("lat") - F.col("lat1")) / (F.col("lat2") - F.col("lat1"))
-    lon_at = F.col("lon1") + share * (F.col("lon2") - F.col("lon1"))
+    lat, lon = F.col("lat"), F.col("lon")
+    base, side = F.col("row") * F.col("w"), (F.col("col") + 1) * F.col("w")
+
+    def east(end: str) -> Column:
+        """Whether the end of the part of the edge between base and point lies east of the cell."""
+        at = F.col("lat" + end)
+        return (
+            F.when(at <= base, _lon_at(base) > side).when(at > lat, _lon_at(lat) > side).otherwise(F.col("lon" + end) > side)
+        )
+
+    beyond = ((F.col("lat1") <= base) & (F.col("lat2") <= base)) | ((F.col("lat1") > lat) & (F.col("lat2") > lat))
+    along_side = F.when(beyond, False).otherwise(east("1") != east("2"))
+    westward = _crosses(lat) & (lon < _lon_at(lat)) & (_lon_at(lat) <= side)
+    turns = F.when(F.col("lat1").isNull(), True).otherwise(along_side != westward)
     return (
-        spots.withColumn("band", F.floor(F.col("lat") / RING_BAND_DEG))
-        .join(banded, "band")
-        .where(crosses & (F.col("lon") < lon_at))
+        join_split(cover, placed, RING_KEYS, ["lat", "lon"], CELL_TARGET)
+        .where(turns)
         .groupBy("lat", "lon", "ring_id")
-        .agg(F.count(F.lit(1)).alias("crossings"))
-        .where(F.col("crossings") % 2 == 1)
+        .agg(F.count(F.lit(1)).alias("turns"))
+        .where(F.col("turns") % 2 == 1)
         .select("lat", "lon", "ring_id")
     )
 
