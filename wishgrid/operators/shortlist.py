@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wishgrid.functions.geo import haversine_m
 from wishgrid.operators.catalog import location_filter
 from wishgrid.operators.poi import known_presence
-from wishgrid.operators.spatial import coordinate_pairs, min_distance, nearest_k, radius_join
+from wishgrid.operators.spatial import count_in_reach, min_distance, nearest_k, radius_join, with_nearest
 from wishgrid.session import through_table
 
 # Fixed values.
@@ -45,18 +44,9 @@ def declared_maximum(requirements: DataFrame) -> DataFrame:
 def distances(candidates: DataFrame, points: DataFrame) -> DataFrame:
     """Candidates with ``dist_m`` to the nearest point of their query and ``pointed`` (it has any).
 
-    One pass: candidates meet the distinct points of their query and the minimum is combined on
-    the map side; candidates without points or coordinates keep NULL.
+    Equal candidates become one row; candidates without points or coordinates keep NULL.
     """
-    spots = points.where("lat is not null and lon is not null").select(
-        "query_id", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon")
-    )
-    dist = haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("lat"), F.col("lon"))
-    return (
-        candidates.join(spots.distinct(), "query_id", "left")
-        .groupBy(*candidates.columns)
-        .agg(F.min(dist).alias("dist_m"), (F.count("a_lat") > 0).alias("pointed"))
-    )
+    return with_nearest(candidates, points, "query_id")
 
 
 def rank_by_points(candidates: DataFrame, points: DataFrame, declared: DataFrame, limit: int | None = None) -> DataFrame:
@@ -220,21 +210,16 @@ def fallback_notes(
         F.expr("count_if(lat is not null and lon is not null)").alias("located"),
         F.expr("count_if(lat is null or lon is null)").alias("unlocatable"),
     ).withColumn("one", F.lit(1))
-    spots = anchors.join(fallback, "query_id", "left_semi").select(
-        "query_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")
-    )
-    targets = places.select(F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"))
-    held = targets.groupBy("q_lat", "q_lon").agg(F.count(F.lit(1)).alias("held"))
-    pairs = coordinate_pairs(spots, targets, anchor_radius_m)
-    inside = (
-        spots.distinct()
-        .join(pairs, ["p_lat", "p_lon"])
-        .groupBy("query_id", "q_lat", "q_lon")
-        .agg(F.min("dist_m").alias("dist_m"))
-        .join(held, ["q_lat", "q_lon"])
-        .groupBy("query_id")
-        .agg(F.sum("held").alias("inside"), F.min("dist_m").alias("nearest_m"))
+    spots = anchors.join(fallback, "query_id", "left_semi").where("lat is not null and lon is not null").select("query_id", "lat", "lon")
+    inside = count_in_reach(spots, places, anchor_radius_m)
+    # A place is within reach of the query if the one nearest to some anchor is.
+    asked = spots.withColumn("point_id", F.xxhash64("lat", "lon"))
+    nearest = nearest_k(asked.select("point_id", "lat", "lon").distinct(), places, 1)
+    nearest = (
+        asked.select("query_id", "point_id").join(nearest.select("point_id", "dist_m"), "point_id")
+        .groupBy("query_id").agg(F.min("dist_m").alias("nearest_m")).where(F.col("nearest_m") <= anchor_radius_m)
     )
+    inside = inside.join(nearest, "query_id", "full")
     return (
         fallback.join(inside, "query_id", "left")
         .withColumn("one", F.lit(1))

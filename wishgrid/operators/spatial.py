@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from wishgrid.functions.geo import EARTH_RADIUS_M, haversine_m, to_xyz
 from wishgrid.functions.text import normalize_key
 from wishgrid.operators.skew import join_split
+from wishgrid.session import through_table
 
 CELL_TARGET = 4096  # coordinates of one cell handled by one task; more are split by a salt
 SLACK_M = 0.5  # widens the searched box, never the accepted radius
@@ -197,22 +198,130 @@ def radius_or_nearest(
     return hits.unionByName(rest)
 
 
+SET_TARGETS = 64  # a group of so many targets is compared with its spots directly, one of more is searched in cells
+
+
+def with_nearest(spots: DataFrame, targets: DataFrame, group: str) -> DataFrame:
+    """Spots with ``dist_m`` to the nearest target of their group and ``pointed``: the group has any.
+
+    ``spots(group, lat, lon, …)``, ``targets(group, lat, lon)``. Exact; equal rows of ``spots`` become one.
+    What lies nowhere is no target and has no distance. A spot meets at most ``SET_TARGETS`` targets
+    directly; groups of more are searched in cells, which are split where they are crowded.
+    """
+    located = "lat is not null and lon is not null"
+    q = targets.where(located).select(group, F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon")).distinct()
+    many = q.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SET_TARGETS).select(group)
+    dist = haversine_m(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon"))
+
+    def direct(asked: DataFrame, among: DataFrame) -> DataFrame:
+        met = asked.join(among, group, "left").groupBy(*spots.columns)
+        return met.agg(F.min(dist).alias("dist_m"), (F.count("q_lat") > 0).alias("pointed"))
+
+    if many.isEmpty():
+        return direct(spots, q)
+    crowded = spots.join(many, group, "left_semi").distinct()
+    near = _nearest_in_cells(
+        crowded.where(located).select(group, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).distinct(),
+        q.join(many, group, "left_semi"),
+        group,
+    )
+    searched = crowded.join(near, [group, "lat", "lon"], "left").select(*spots.columns, "dist_m", F.lit(True).alias("pointed"))
+    return direct(spots.join(many, group, "left_anti"), q.join(many, group, "left_anti")).unionByName(searched)
+
+
+def _nearest_in_cells(p: DataFrame, q: DataFrame, group: str) -> DataFrame:
+    """``(group, lat, lon, dist_m)`` of distinct spots ``p`` to the nearest of the distinct targets ``q``.
+
+    Cells of doubling width are numbered within their group. Each spot takes the smallest cell around
+    it that holds a target, whose diagonal bounds the box searched one level up.
+    """
+    keys = [group, "level", "cx", "cy", "cz"]
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
+    width = F.lit(LEVEL_BASE_M) * F.pow(F.lit(2.0), F.col("level"))
+
+    def spread(df: DataFrame, lat: str, lon: str) -> DataFrame:
+        x, y, z = to_xyz(F.col(lat), F.col(lon))
+        return df.select(group, lat, lon, x.alias("x"), y.alias("y"), z.alias("z"), levels.alias("level"))
+
+    cells = spread(q, "q_lat", "q_lon").select("q_lat", "q_lon", group, "level", *_cell(width))
+    own = (
+        spread(p, "p_lat", "p_lon")
+        .select("p_lat", "p_lon", "x", "y", "z", group, "level", *_cell(width))
+        .join(cells.select(*keys).distinct(), keys)
+        .groupBy(group, "p_lat", "p_lon", "x", "y", "z")
+        .agg(F.min("level").alias("own"))
+    )
+    reach = F.lit(LEVEL_BASE_M * math.sqrt(3.0)) * F.pow(F.lit(2.0), F.col("own")) + SLACK_M
+    search = _cover(own.withColumn("level", F.least(F.col("own") + 1, F.lit(LEVELS - 1))), reach, width)
+    dist = haversine_m(F.col("q_lat"), F.col("q_lon"), F.col("p_lat"), F.col("p_lon"))
+    near = _join_cells(search.select("p_lat", "p_lon", *keys), cells, keys)
+    return near.groupBy(group, F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon")).agg(F.min(dist).alias("dist_m"))
+
+
 def min_distance(candidates: DataFrame, anchors: DataFrame) -> DataFrame:
     """Least distance of every candidate to any anchor of the same query.
 
-    ``candidates(query_id, place_id, lat, lon)``, ``anchors(query_id, lat, lon)``. Anchors are
-    made distinct first and the minimum is combined on the map side.
+    ``candidates(query_id, place_id, lat, lon)``, ``anchors(query_id, lat, lon)``. Candidates without
+    coordinates and queries without located anchors give no row.
     """
-    spots = anchors.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
-        "query_id", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon")
-    )
-    dist = haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("lat"), F.col("lon"))
-    return (
-        candidates.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-        .join(spots.distinct(), "query_id")
-        .groupBy("query_id", "place_id")
-        .agg(F.min(dist).alias("dist_m"))
+    near = with_nearest(candidates.select("query_id", "place_id", "lat", "lon"), anchors, "query_id")
+    return near.where("dist_m is not null").groupBy("query_id", "place_id").agg(F.min("dist_m").alias("dist_m"))
+
+
+REGION_STEP = 8  # how much finer each of the two further grids of a region is
+
+
+def count_in_reach(anchors: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
+    """``(query_id, inside)``: how many places lie within ``radius_m`` of any anchor of the query.
+
+    ``anchors(query_id, lat, lon)``, ``places(lat, lon)``. Three grids, the first as wide as the
+    radius, the others eight times finer each: cells wholly within the radius are answered from their
+    counts, cells wholly beyond it drop out, and only places of the cells at the border are measured.
+    Queries with nothing in reach give no row.
+    """
+    reach = chord_m(radius_m)
+    fine = (reach + SLACK_M) / REGION_STEP**2
+    keys = ["cx", "cy", "cz"]
+    located = "lat is not null and lon is not null"
+    x, y, z = to_xyz(F.col("lat"), F.col("lon"))
+    held = places.where(located).groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("held"))
+    spots = held.select(F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), "held", x.alias("x"), y.alias("y"), z.alias("z"))
+    spots = through_table(spots.select("q_lat", "q_lon", "held", *_cell(F.lit(fine))), "region-places")
+
+    def coarser(df: DataFrame) -> DataFrame:
+        """Adds ``px, py, pz``, the cell one grid up."""
+        return df.select("*", *[F.floor(F.col("c" + a) / REGION_STEP).alias("p" + a) for a in "xyz"])
+
+    finest = spots.groupBy(*keys).agg(F.sum("held").alias("held"))
+    middle = coarser(finest).groupBy(*[F.col("p" + a).alias("c" + a) for a in "xyz"]).agg(F.sum("held").alias("held"))
+
+    def judged(df: DataFrame, width: float) -> DataFrame:
+        """Cells of a query that are not wholly out of reach; ``full`` where one anchor reaches all of it."""
+        least, most = F.lit(0.0), F.lit(0.0)
+        for a in "xyz":
+            low, high = F.col("c" + a) * F.lit(width), (F.col("c" + a) + 1) * F.lit(width)
+            near = F.greatest(low - F.col(a), F.col(a) - high, F.lit(0.0))
+            far = F.greatest(F.col(a) - low, high - F.col(a))
+            least, most = least + near * near, most + far * far
+        return df.where(F.sqrt(least) <= reach + SLACK_M).withColumn("full", F.sqrt(most) <= reach - SLACK_M)
+
+    who = ["query_id", "p_lat", "p_lon", "x", "y", "z"]
+    asked = anchors.where(located).select("query_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), x.alias("x"), y.alias("y"), z.alias("z")).distinct()
+    region = _cover(asked, F.lit(reach + SLACK_M), F.lit(fine * REGION_STEP**2)).select(
+        *who, *[F.col("c" + a).alias("p" + a) for a in "xyz"]
     )
+    answers = []
+    for cells, width in ((middle, fine * REGION_STEP), (finest, fine)):
+        met = judged(region.join(coarser(cells), ["px", "py", "pz"]), width).select(*who, *keys, "held", "full")
+        met = through_table(met, "region-cells")
+        full = met.where("full").select("query_id", *keys, "held").distinct()
+        answers.append(full.select("query_id", "held"))
+        border = met.where("not full").join(full, ["query_id", *keys], "left_anti").select(*who, *keys)
+        region = border.select(*who, *[F.col("c" + a).alias("p" + a) for a in "xyz"])
+    dist = haversine_m(F.col("p_lat"), F.col("p_lon"), F.col("q_lat"), F.col("q_lon"))
+    measured = _join_cells(border, spots, keys).where(dist <= radius_m).select("query_id", "q_lat", "q_lon", "held").distinct()
+    every = answers[0].unionByName(answers[1]).unionByName(measured.select("query_id", "held"))
+    return every.groupBy("query_id").agg(F.sum("held").alias("inside"))
 
 
 RING_CELLS = 16  # least number of cells along the longer side of a ring
