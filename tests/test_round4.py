@@ -42,3 +42,19 @@ def test_matches_are_found_in_one_pass(spark):
         1: [(1, 4, "абб", ["а", "бб", None]), (5, 6, "б", [None, "б", None]), (7, 10, "абв", ["а", "б", "в"])],
         2: [], 3: [], 4: [], 5: [(0, 1, "б", [None, "б", None])],
     }
+
+
+def test_stations_are_not_sent_through_the_driver(spark):
+    from wishgrid.operators.spatial import station_points
+
+    rows = [(i, f"n{i}", "Кольцевая / Синяя" if i % 3 else None, 55.0 if i % 7 else None, 37.0) for i in range(400)]
+    stations = spark.createDataFrame(rows, "ord long, name string, line string, lat double, lon double")
+    asked = spark.createDataFrame([("метро",), ("синя",), ("КОЛЬ",), ("кольц",), ("красн",)], "line_prefix string")
+    out = station_points(stations, asked)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    broadcast = [plan[i : i + 400] for i in range(len(plan)) if plan.startswith("BroadcastExchange", i)]
+    assert len(broadcast) == 1 and "explode" not in broadcast[0]
+    got = sorted((r.line_prefix, r.ord) for r in out.collect())
+    located = [r for r in rows if r[3] is not None]
+    want = [("метро", r[0]) for r in located] + [(p, r[0]) for r in located if r[2] for p in ("синя", "КОЛЬ", "кольц")]
+    assert got == sorted(want)

@@ -459,20 +459,25 @@ ANY_STATION = "метро"  # fixed value: the prefix that stands for every loca
 def station_points(stations: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Located stations one of whose lines starts with the requested prefix.
 
-    ``stations(ord, name, line, lat, lon)``, ``prefixes(line_prefix)``. Every line is exploded
-    into its own prefixes, so "starts with" becomes an equi-join.
+    ``stations(ord, name, line, lat, lon)``, ``prefixes(line_prefix)``. Every distinct line is exploded
+    into its own prefixes, so "starts with" becomes an equi-join; stations meet only the prefixes that fit
+    their line, split where a line has many stations. No side of these joins passes the driver; the spellings
+    of the one word for every station do.
     """
-    located = stations.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    lines = F.transform(F.split(F.coalesce("line", F.lit("")), "/"), normalize_key)
+    located = stations.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).withColumn(
+        "line", F.coalesce("line", F.lit(""))
+    )
+    asked = prefixes.select("line_prefix", normalize_key("line_prefix").alias("prefix_key")).distinct()
+    lines = F.filter(F.transform(F.split("line", "/"), normalize_key), lambda s: F.length(s) > 0)
     starts = F.flatten(
         F.transform(
-            F.filter(lines, lambda s: F.length(s) > 0),
-            lambda s: F.transform(
-                F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, F.lit(1), i)
-            ),
+            lines, lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, F.lit(1), i))
         )
     )
-    keys = F.array_distinct(F.concat(starts, F.array(F.lit(ANY_STATION))))
-    exploded = located.withColumn("prefix_key", F.explode(keys))
-    asked = prefixes.select("line_prefix", normalize_key("line_prefix").alias("prefix_key")).distinct()
-    return exploded.join(asked, "prefix_key").select("line_prefix", "ord", "name", "lat", "lon")
+    known = located.select("line").distinct().select("line", F.explode(F.array_distinct(starts)).alias("prefix_key"))
+    some = asked.where(F.col("prefix_key") != ANY_STATION)
+    fitting = known.join(some.hint("merge"), "prefix_key").select("line", "line_prefix")
+    kept = ["line_prefix", "ord", "name", "lat", "lon"]
+    by_line = join_split(fitting, located, ["line"], ["ord"], CELL_TARGET, sorted_=True).select(*kept)
+    every = asked.where(F.col("prefix_key") == ANY_STATION).select("line_prefix")
+    return by_line.unionByName(located.crossJoin(F.broadcast(every)).select(*kept))
