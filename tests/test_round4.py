@@ -58,3 +58,24 @@ def test_stations_are_not_sent_through_the_driver(spark):
     located = [r for r in rows if r[3] is not None]
     want = [("метро", r[0]) for r in located] + [(p, r[0]) for r in located if r[2] for p in ("синя", "КОЛЬ", "кольц")]
     assert got == sorted(want)
+
+
+def test_cards_of_blocks_are_audited_as_cards_one_by_one(spark):
+    from wishgrid.operators.listings import axis_audit, axis_audit_of_blocks
+
+    criteria = spark.range(60).selectExpr(
+        "id as query_id", "case when id % 2 = 0 then 1 + id % 5 end as floor_min", "case when id % 3 = 0 then 2 + id % 3 end as floor_max",
+        "100 * (id % 9) as price_min", "cast(null as int) as price_max", "cast(null as double) as area_min",
+        "case when id % 4 = 0 then 30.5D end as area_max", "case when id % 5 = 0 then 2001 end as year_from", "cast(null as int) as year_to",
+        "case when id % 6 = 0 then array(1, 3) else array() end as rooms_any",
+        "case when id % 7 = 0 then array() when id % 7 = 1 then null when id % 7 = 2 then array('b1', 'b1', 'none') else array('b1', concat('b', id % 4)) end as blocks",
+    ).selectExpr("*", "cast(rooms_any as array<int>) as r").drop("rooms_any").withColumnRenamed("r", "rooms_any")
+    listings = spark.range(900).selectExpr(
+        "id", "concat('b', case when id % 10 < 7 then 1 else id % 5 end) as block_id", "case when id % 11 > 0 then cast(id % 9 as int) end as floor",
+        "id % 300 as price", "case when id % 5 <> 4 then 20.0D + id % 30 end as area", "2000 + cast(id % 3 as int) as year", "cast(id % 6 as int) as rooms",
+    )
+    cards = criteria.selectExpr("query_id", "explode(array_distinct(blocks)) as block_id").join(listings, "block_id")
+    columns = ["query_id", "axis", "cards", "checked", "actual_min", "actual_max", "violations", "example_id", "actual_values", "verdict"]
+    one_by_one = axis_audit(criteria, cards).select(*columns).collect()
+    out = axis_audit_of_blocks(criteria, listings).select(*columns)
+    assert sorted(map(str, out.collect())) == sorted(map(str, one_by_one)) and len(one_by_one) > 100
