@@ -79,3 +79,17 @@ def test_cards_of_blocks_are_audited_as_cards_one_by_one(spark):
     one_by_one = axis_audit(criteria, cards).select(*columns).collect()
     out = axis_audit_of_blocks(criteria, listings).select(*columns)
     assert sorted(map(str, out.collect())) == sorted(map(str, one_by_one)) and len(one_by_one) > 100
+
+
+def test_names_that_begin_alike_are_looked_up_whole(spark):
+    from wishgrid.operators.routes import named_in_text
+
+    names = [(i, f"Tower of the North {i:04d}", [], 55.0, 37.0) for i in range(900)]
+    names += [(2000, "Mill", ["old mill", "ab"], 55.0, 37.0), (1999, "Mill", [], 55.0, 37.0), (5, "Lost", [], None, 37.0), (2001, "", [""], 55.0, 37.0)]
+    catalog = spark.createDataFrame(names, "ord long, name string, aliases array<string>, lat double, lon double")
+    texts = [(i, f"near TOWER OF THE NORTH {i % 1000:04d} please") for i in range(1500)]
+    texts += [(9001, "the old mill, drab"), (9002, "drab"), (9003, "lost"), (9004, ""), (9005, None)]
+    out = named_in_text(spark.createDataFrame(texts, "query_id long, text string"), catalog)
+    want = {i: i % 1000 for i in range(1500) if i % 1000 < 900} | {9001: 1999, 9002: 2000}
+    assert {r.query_id: r.ord for r in out.collect()} == want
+    assert "Contains(low" not in out._jdf.queryExecution().optimizedPlan().toString()

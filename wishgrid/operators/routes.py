@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wishgrid.functions.geo import CENTRE_LAT, CENTRE_LON, haversine_m
 from wishgrid.operators.catalog import find_by_name
+from wishgrid.operators.skew import join_split
 
 # Metres per minute, winding factor and fixed minutes per mode.
 MODES = {
@@ -89,8 +90,7 @@ def destination(
 
     ``criteria(query_id, text, center_requested)``, ``landmarks(query_id, pos, name, lat, lon)``,
     ``requested(query_id, pos, name)``, ``catalog(ord, name, aliases, lat, lon)`` of landmarks.
-    Names meet texts through the words of both: a name can only be contained where its first word
-    starts, so candidates share the beginning of a word.
+    Names meet texts where the text holds their beginning (see ``named_in_text``).
     """
     spot = F.struct("name", "lat", "lon")
     by_landmark = landmarks.groupBy("query_id").agg(F.min_by(spot, F.col("pos")).alias("p")).withColumn("prio", F.lit(0))
@@ -114,29 +114,29 @@ CONTAINED_PREFIX = 4
 def named_in_text(criteria: DataFrame, catalog: DataFrame) -> DataFrame:
     """First landmark (by ``ord``) whose name or alias occurs in the lower-cased text.
 
-    Names of at least ``CONTAINED_PREFIX`` characters meet the texts on that many characters at
-    every position; shorter names meet on their whole length.
+    Distinct names are known by their first ``CONTAINED_PREFIX`` characters (shorter ones by all) and their lengths.
+    Where a distinct text holds such a beginning, the piece of that length is looked up as a whole, so names that begin
+    alike are not compared one by one.
     """
     low = F.transform(F.concat(F.array("name"), "aliases"), F.lower)
-    names = (
+    first = (
         catalog.where("lat is not null and lon is not null")
         .select("ord", "name", "lat", "lon", F.explode(F.array_distinct(low)).alias("phrase"))
         .where("phrase <> ''")
-        .withColumn("gram", F.left("phrase", F.lit(CONTAINED_PREFIX)))
+        .groupBy("phrase")
+        .agg(F.min(F.struct("ord", "name", "lat", "lon")).alias("n"))
     )
+    heads = first.select(F.left("phrase", F.lit(CONTAINED_PREFIX)).alias("gram"), F.length("phrase").alias("size")).distinct()
+    lengths = heads.agg(F.collect_set(F.length("gram")).alias("ns"))  # at most CONTAINED_PREFIX numbers
     lowered = criteria.select("query_id", F.lower("text").alias("low"))
-    grams = F.expr(
-        "array_distinct(flatten(transform(sequence(1, greatest(length(low), 1)),"
-        f" i -> transform(sequence(1, {CONTAINED_PREFIX}), n -> substring(low, i, n)))))"
-    )
-    texts = lowered.withColumn("gram", F.explode(grams))
-    return (
-        texts.join(names, "gram")
-        .where(F.contains("low", "phrase"))
-        .groupBy("query_id")
-        .agg(F.min_by(F.struct("ord", "name", "lat", "lon"), F.col("ord")).alias("n"))
-        .select("query_id", "n.*")
+    spots = (
+        lowered.select("low").where("low <> ''").distinct().crossJoin(F.broadcast(lengths))
+        .select("low", "ns", F.explode(F.expr("sequence(1, length(low))")).alias("i"))
+        .select("low", "i", F.explode(F.expr("transform(ns, n -> substring(low, i, n))")).alias("gram"))
     )
+    pieces = join_split(heads, spots, ["gram"], ["low"]).selectExpr("low", "substring(low, i, size) as phrase").distinct()
+    found = pieces.join(first, "phrase").groupBy("low").agg(F.min("n").alias("n"))
+    return lowered.join(found, "low").select("query_id", "n.*")
 
 
 def origins(criteria: DataFrame, requested: DataFrame, complexes: DataFrame) -> DataFrame:
