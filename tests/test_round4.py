@@ -93,3 +93,17 @@ def test_names_that_begin_alike_are_looked_up_whole(spark):
     want = {i: i % 1000 for i in range(1500) if i % 1000 < 900} | {9001: 1999, 9002: 2000}
     assert {r.query_id: r.ord for r in out.collect()} == want
     assert "Contains(low" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_matches_of_a_location_are_not_shuffled(spark):
+    from wishgrid.operators.catalog import location_filter
+
+    rows = [(i, f"b{i}", f"d{i % 4}", f"c{i % 3}" if i % 5 else None, "D1") for i in range(60)]
+    complexes = spark.createDataFrame(rows, "ord long, place_id string, district string, county string, metro string")
+    wanted = [(q, n) for q in range(40) for n in ([f"d{q % 5}", f"D{q % 5}", "c1"] if q % 2 else [None, "d1", ""])]
+    out = location_filter(complexes, spark.createDataFrame(wanted, "query_id long, name string"))
+    names = {q: {n.lower().replace("c", "с") for a, n in wanted if a == q and n} for q in range(40)}
+    tags = {r[0]: {t.lower().replace("c", "с") for t in r[2:] if t} for r in rows}
+    got = [(r.query_id, r.ord) for r in out.collect()]
+    assert sorted(got) == sorted((q, o) for q in names for o in tags if names[q] & tags[o])
+    assert out._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Project")
