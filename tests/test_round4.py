@@ -107,3 +107,18 @@ def test_matches_of_a_location_are_not_shuffled(spark):
     got = [(r.query_id, r.ord) for r in out.collect()]
     assert sorted(got) == sorted((q, o) for q in names for o in tags if names[q] & tags[o])
     assert out._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Project")
+
+
+def test_every_task_has_its_part_of_the_fallback(spark):
+    from wishgrid.operators.routes import origins
+
+    criteria = spark.range(0, 200, 1, 1).withColumnRenamed("id", "query_id")
+    requested = criteria.where("query_id < 10").selectExpr("query_id", "concat('n', query_id) as name")
+    complexes = spark.range(0, 40, 1, 1).selectExpr(
+        "id as ord", "concat('n', id) as name", "cast(array() as array<string>) as aliases", "case when id <> 3 then 55.0D end as lat", "37.0D as lon"
+    )
+    out = origins(criteria, requested, complexes)
+    rows = [tuple(r) for r in out.collect()]
+    named = {(i, i, False) for i in range(10) if i != 3}
+    assert set(rows) == named | {(q, o, True) for q in [3, *range(10, 200)] for o in range(40) if o != 3} and len(rows) == len(set(rows))
+    assert out.where("fallback").select(F.spark_partition_id().alias("p")).distinct().count() > 1
