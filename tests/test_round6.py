@@ -7,8 +7,11 @@ import random
 from pyspark.sql import functions as F
 
 from wishgrid.functions.text import pair_similarity, similarity
+from wishgrid.operators import gazetteer as gz
 from wishgrid.operators.similar import similar_pairs
 
+NONE = "cast(array() as array<string>) as aliases"
+
 
 def test_batches_score_like_the_plain_expression(spark):
     rnd = random.Random(3)
@@ -28,3 +31,18 @@ def test_pairs_are_found_at_any_shared_gram(spark):
         want = {tuple(r) for r in everything.where(f"score >= {threshold} - 1e-9").collect()}
         found = [tuple(r) for r in similar_pairs(df, df.select(F.col("a").alias("b")), threshold).collect()]
         assert len(found) == len(set(found)) and set(found) == want
+
+
+def _entries(spark):
+    return spark.range(1).selectExpr("1L as ord", "'complex' as type", "'large ring' as name", "'s' as slug", "'i' as id", NONE)
+
+
+def test_equal_texts_are_searched_for_names_once(spark, monkeypatch):
+    asked = []
+    plain = gz.match_gazetteer
+    monkeypatch.setattr(gz, "match_gazetteer", lambda texts, entries: asked.append(texts.count()) or plain(texts, entries))
+    texts = ["в жк large ring", "нет", None]
+    queries = spark.createDataFrame([(q, texts[q % 3]) for q in range(30)], "query_id long, text string")
+    got = gz.named_entities(queries, _entries(spark)).collect()
+    assert asked == [3] and sorted(r.query_id for r in got) == list(range(0, 30, 3))
+    assert {(r.name, r.s, r.e) for r in got} == {("large ring", 0, 15)}

@@ -268,8 +268,7 @@ def e21_entity_number_spans(spark, sf):
     entries = part.groupBy("label").agg(F.min("p_partkey").alias("ord")).selectExpr(
         "ord", "'complex' as type", "label as name", "cast(null as string) as slug", "cast(null as string) as id", "cast(array() as array<string>) as aliases"
     )
-    found = gz.resolve_overlaps(gz.match_gazetteer(asks, entries))
-    spans = gz.entity_number_spans(found, asks)
+    spans = gz.entity_number_spans(gz.named_entities(asks, entries), asks)
     return spans.selectExpr("query_id", "reserved[0].s as s", "reserved[0].e as e")
 
 
