@@ -174,8 +174,8 @@ _SQL_FOUND = with_sql(
     _SQL_FOUND + "SELECT k AS query_id, name, round(score, 4) AS score FROM asks JOIN best USING (a)",
 )
 def f1_match_gazetteer(spark, sf):
-    found = gz.match_gazetteer(_asking(spark, sf), _entries(spark, sf))
-    return gz.resolve_overlaps(found).select("query_id", "name", F.round("score", 4).alias("score"))
+    found = gz.named_entities(_asking(spark, sf), _entries(spark, sf))
+    return found.select("query_id", "name", F.round("score", 4).alias("score"))
 
 
 @query(
