@@ -198,28 +198,35 @@ def radius_or_nearest(
     return hits.unionByName(rest)
 
 
-SET_TARGETS = 64  # a group of so many targets is compared with its spots directly, one of more is searched in cells
+SET_TARGETS = 64  # a group of so many targets travels as one array, one of more is searched in cells
 
 
 def with_nearest(spots: DataFrame, targets: DataFrame, group: str) -> DataFrame:
-    """Spots with ``dist_m`` to the nearest target of their group and ``pointed``: the group has any.
+    """``to_nearest``, equal rows of ``spots`` become one."""
+    return to_nearest(spots.distinct(), targets, group)
 
-    ``spots(group, lat, lon, …)``, ``targets(group, lat, lon)``. Exact; equal rows of ``spots`` become one.
-    What lies nowhere is no target and has no distance. A spot meets at most ``SET_TARGETS`` targets
-    directly; groups of more are searched in cells, which are split where they are crowded.
+
+def to_nearest(spots: DataFrame, targets: DataFrame, group: str) -> DataFrame:
+    """Every row of ``spots`` with ``dist_m`` to the nearest target of its group and ``pointed``: the group has any.
+
+    ``spots(group, lat, lon, …)``, ``targets(group, lat, lon)``. Exact.
+    What lies nowhere is no target and has no distance. Up to ``SET_TARGETS`` targets of a group meet a spot as one array, so
+    nothing is multiplied and no task holds its spots; groups of more are searched in cells, which are split where they are crowded.
     """
     located = "lat is not null and lon is not null"
     q = targets.where(located).select(group, F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon")).distinct()
     many = q.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SET_TARGETS).select(group)
-    dist = haversine_m(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon"))
 
     def direct(asked: DataFrame, among: DataFrame) -> DataFrame:
-        met = asked.join(among, group, "left").groupBy(*spots.columns)
-        return met.agg(F.min(dist).alias("dist_m"), (F.count("q_lat") > 0).alias("pointed"))
+        sets = among.groupBy(group).agg(F.collect_list(F.struct("q_lat", "q_lon")).alias("_targets"))
+        dist = F.transform("_targets", lambda t: haversine_m(t["q_lat"], t["q_lon"], F.col("lat"), F.col("lon")))
+        return asked.join(sets, group, "left").select(
+            *spots.columns, F.array_min(dist).alias("dist_m"), F.col("_targets").isNotNull().alias("pointed")
+        )
 
     if many.isEmpty():
         return direct(spots, q)
-    crowded = spots.join(many, group, "left_semi").distinct()
+    crowded = spots.join(many, group, "left_semi")
     near = _nearest_in_cells(
         crowded.where(located).select(group, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).distinct(),
         q.join(many, group, "left_semi"),
@@ -264,7 +271,7 @@ def min_distance(candidates: DataFrame, anchors: DataFrame) -> DataFrame:
     ``candidates(query_id, place_id, lat, lon)``, ``anchors(query_id, lat, lon)``. Candidates without
     coordinates and queries without located anchors give no row.
     """
-    near = with_nearest(candidates.select("query_id", "place_id", "lat", "lon"), anchors, "query_id")
+    near = to_nearest(candidates.select("query_id", "place_id", "lat", "lon"), anchors, "query_id")
     return near.where("dist_m is not null").groupBy("query_id", "place_id").agg(F.min("dist_m").alias("dist_m"))
 
 

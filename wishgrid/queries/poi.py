@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wishgrid.operators import poi as ops
+from wishgrid.operators.skew import dealt
 from wishgrid.packs.poi_tags import CATEGORY_TAGS
 from wishgrid.queries.base import SQL_PLACES, lat_of, lon_of, places, sql_hav, sql_lat, sql_lon, table, with_sql
 from wishgrid.queries.registry import query
@@ -189,13 +190,13 @@ SQL_REQS = f"""reqs AS (SELECT k AS query_id, {REQ1} AS category, k % 10 = 7 AS
 
 def matched(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
-    return (
+    n = lines.count()
+    pairs = (
         table(spark, sf, "orders")
-        .join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+        .join(dealt(lines, n, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
         .select(F.col("o_custkey").alias("query_id"), F.col("l_suppkey").alias("ord"))
-        .distinct()
-        .withColumn("slug", F.expr("concat('c', ord)"))
     )
+    return dealt(pairs, n, "query_id", "ord").distinct().withColumn("slug", F.expr("concat('c', ord)"))
 
 
 SQL_MATCHED = """matched AS (SELECT DISTINCT o_custkey AS query_id, l_suppkey AS ord, 'c' || l_suppkey AS slug FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
