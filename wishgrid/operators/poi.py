@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wishgrid.operators.skew import dealt
 from wishgrid.operators.spatial import coordinate_pairs
 from wishgrid.packs import poi_tags as fixed
+from wishgrid.session import through_table
 
 
 def is_operational(tags: str = "tags") -> Column:
@@ -115,8 +117,11 @@ def poi_evidence(requirements: DataFrame, matched: DataFrame, poi: DataFrame) ->
 
     ``requirements(query_id, category)``, ``matched(query_id, slug, ord)``.
     """
-    rows = requirements.distinct().join(matched, "query_id").join(poi, ["slug", "category"])
-    stats = rows.groupBy("query_id", "category").agg(
+    matched = through_table(matched.select("query_id", "slug", "ord"), "matched")
+    n = matched.count()
+    asked = dealt(matched, n, "query_id").join(requirements.distinct(), "query_id")
+    rows = dealt(asked, n, "slug", "category").join(poi, ["slug", "category"])
+    stats = dealt(rows, n, "query_id", "category").groupBy("query_id", "category").agg(
         F.expr(
             "min_by(struct(slug, closest_distance_m, closest_name, closest_unnamed, schema_version,"
             " closest_under_construction_m), struct(closest_distance_m, ord))"
