@@ -45,7 +45,7 @@ def operators(spark, candidates, landmarks):
     }
 
 
-@pytest.mark.parametrize("name", ["w2", "w4", "w5", "w6", "w7"])
+@pytest.mark.parametrize("name", ["w2", "w4", "w5", "w6", "w7", "a2"])
 def test_rows_of_a_task_are_bounded(spark, candidates, landmarks, monkeypatch, name):
     make = operators(spark, candidates, landmarks)[name]
     few = make()
