@@ -2,7 +2,8 @@
 
 import pytest
 
-from wishgrid.operators import poi, shortlist, skew
+from wishgrid import session
+from wishgrid.operators import catalog, poi, shortlist, skew
 
 QUERIES = 40
 
@@ -54,3 +55,23 @@ def test_rows_of_a_task_are_bounded(spark, candidates, landmarks, monkeypatch, n
     many = make()
     assert many.rdd.getNumPartitions() > few.rdd.getNumPartitions()
     assert sorted(map(str, many.collect())) == want and want
+
+
+def test_a_line_calls_at_a_node_once(spark, monkeypatch):
+    """40 relations of one line at the same two nodes: two rows meet the nodes, not 80."""
+    kept = {}
+
+    def keep(df, label):
+        kept[label] = session.through_table(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(catalog, "through_table", keep)
+    tags = "map<string,string>"
+    schema = f"type string, id int, lat double, lon double, tags {tags}, members array<struct<type: string, ref: int, role: string>>"
+    stop = {"name": "Lake", "railway": "station", "alt_name": "Lake; The Lake"}
+    rows = [("node", 1, 55.0, 37.0, stop, None), ("node", 2, 56.0, 38.0, {**stop, "alt_name": "Pond"}, None)]
+    rows += [("relation", 10 + i, None, None, {"route": "train", "ref": "14"}, [("node", 1, ""), ("node", 2, ""), ("way", 1, "")]) for i in range(40)]
+    rows += [("relation", 90, None, None, {"route": "subway", "name": "Blue: a"}, [("node", 2, "")])]
+    out = catalog.stations_from_osm(spark.createDataFrame(rows, schema)).collect()
+    assert [(r.name, r.lat, r.line, r.aliases) for r in out] == [("Lake", 55.0, "Blue / МЦК", ["Pond", "The Lake"])]
+    assert kept["line-nodes"].count() == 3

@@ -112,9 +112,9 @@ def line_label(tags: str = "tags") -> Column:
     )
 
 
-def relation_members(elements: DataFrame) -> DataFrame:
-    """``(relation_id, label, node_id, name, tags, lat, lon)`` of station nodes of lines."""
-    lines = (
+def _line_nodes(elements: DataFrame) -> DataFrame:
+    """``(relation_id, label, node_id)`` of the nodes of lines."""
+    return (
         elements.where("type = 'relation'")
         .withColumn("label", line_label())
         .where("label is not null")
@@ -122,18 +122,29 @@ def relation_members(elements: DataFrame) -> DataFrame:
         .where("m.type = 'node'")
         .select("relation_id", "label", F.col("m.ref").alias("node_id"))
     )
-    nodes = elements.where(
+
+
+def _station_nodes(elements: DataFrame) -> DataFrame:
+    return elements.where(
         (F.col("type") == "node") & F.col("lat").isNotNull() & F.col("lon").isNotNull() & is_station_node()
     ).select(
         F.col("id").alias("node_id"), F.expr("trim(tags['name'])").alias("name"), "tags", "lat", "lon"
     )
-    return lines.join(nodes, "node_id")
+
+
+def relation_members(elements: DataFrame) -> DataFrame:
+    """``(relation_id, label, node_id, name, tags, lat, lon)`` of station nodes of lines."""
+    return _line_nodes(elements).join(_station_nodes(elements), "node_id")
 
 
 def stations_from_osm(elements: DataFrame) -> DataFrame:
-    """A3: one station per name key: all line labels and aliases, the place of the lowest node."""
-    members = relation_members(elements).withColumn("key", normalize_key("name"))
-    places = members.groupBy("key").agg(
+    """A3: one station per name key: all line labels and aliases, the place of the lowest node.
+
+    Relations that call at a node are far more than lines: nodes meet the different labels of theirs, once each.
+    """
+    calls = through_table(_line_nodes(elements).select("label", "node_id").distinct(), "line-nodes")
+    nodes = _station_nodes(elements).withColumn("key", normalize_key("name"))
+    places = calls.join(nodes.drop("tags"), "node_id").groupBy("key").agg(
         F.expr("min_by(struct(name, lat, lon), node_id)").alias("p"),
         F.array_join(F.array_sort(F.collect_set("label")), LINE_SEPARATOR).alias("line"),
     )
@@ -141,7 +152,8 @@ def stations_from_osm(elements: DataFrame) -> DataFrame:
         "flatten(transform(array(tags['alt_name'], tags['short_name']), t -> split(coalesce(t, ''), ';')))"
     )
     aliases = (
-        members.select("key", "node_id", F.posexplode(raw).alias("seq", "alias"))
+        nodes.join(calls, "node_id", "left_semi")
+        .select("key", "node_id", F.posexplode(raw).alias("seq", "alias"))
         .withColumn("alias", F.trim("alias"))
         .withColumn("alias_key", normalize_key("alias"))
         .where("alias_key <> '' and alias_key <> key")

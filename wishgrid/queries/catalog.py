@@ -250,12 +250,10 @@ def elements(spark, sf):
         "cast(null as struct<lat: double, lon: double>) as center", f"{NODE_TAGS} as tags",
         "cast(null as array<struct<type: string, ref: bigint, role: string>>) as members",
     )
-    members = (
-        table(spark, sf, "lineitem")
-        .select("l_orderkey", "l_partkey")
-        .distinct()
-        .groupBy("l_orderkey")
-        .agg(F.expr("collect_list(named_struct('type', case when l_partkey % 12 = 0 then 'way' else 'node' end, 'ref', l_partkey, 'role', 'stop'))").alias("members"))
+    members = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.expr(
+            "transform(collect_set(l_partkey), p -> named_struct('type', case when p % 12 = 0 then 'way' else 'node' end, 'ref', p, 'role', 'stop'))"
+        ).alias("members")
     )
     relations = table(spark, sf, "orders").join(members, F.col("o_orderkey") == F.col("l_orderkey")).selectExpr(
         "'relation' as type", "o_orderkey as id", "cast(null as double) as lat", "cast(null as double) as lon",
