@@ -3,7 +3,7 @@
 import pytest
 
 from wishgrid import session
-from wishgrid.operators import catalog, poi, shortlist, skew
+from wishgrid.operators import catalog, gazetteer, poi, shortlist, skew
 
 QUERIES = 40
 
@@ -75,3 +75,19 @@ def test_a_line_calls_at_a_node_once(spark, monkeypatch):
     out = catalog.stations_from_osm(spark.createDataFrame(rows, schema)).collect()
     assert [(r.name, r.lat, r.line, r.aliases) for r in out] == [("Lake", 55.0, "Blue / МЦК", ["Pond", "The Lake"])]
     assert kept["line-nodes"].count() == 3
+
+
+def test_windows_left_out_are_not_made(spark):
+    """Windows are chosen before they are cut, and keep the numbers they had among all."""
+    long = ", ".join(f"дом {i} у реки" for i in range(40))
+    rows = [(1, "жк Мечта, и; у реки Б 7 и Ясная"), (2, long)]
+    tokens = gazetteer.text_tokens(spark.createDataFrame(rows, "query_id int, text string"))
+    windows = gazetteer.token_windows(tokens)
+    got = [(r.seq, r.window_text) for r in windows.where("query_id = 1").orderBy("seq").collect()]
+    n = 9  # tokens; windows of one token are numbered from 0, of two from 9, of three from 17
+    assert [(s, t) for s, t in got if s < n] == [(1, "Мечта"), (4, "реки"), (5, "Б"), (6, "7"), (8, "Ясная")]
+    assert [(s, t) for s, t in got if n <= s < 2 * n - 1] == [(9, "жк Мечта"), (13, "реки Б"), (14, "Б 7")]
+    numbered = gazetteer.token_windows(tokens, digits=True)
+    assert sorted(numbered.select("query_id", "seq").collect()) == sorted(
+        windows.where("rlike(window_text, '[0-9]')").select("query_id", "seq").collect()
+    )
