@@ -3,7 +3,7 @@
 import pytest
 
 from wishgrid import session
-from wishgrid.operators import catalog, gazetteer, poi, shortlist, skew
+from wishgrid.operators import answers, catalog, gazetteer, poi, shortlist, skew
 
 QUERIES = 40
 
@@ -91,3 +91,17 @@ def test_windows_left_out_are_not_made(spark):
     assert sorted(numbered.select("query_id", "seq").collect()) == sorted(
         windows.where("rlike(window_text, '[0-9]')").select("query_id", "seq").collect()
     )
+
+
+def test_tagged_blocks_are_kept_where_they_meet(spark):
+    """Listed steps win over tags, the first tag over the second; the answer is that of all steps listed."""
+    rows = [(q, s, f, n) for q in range(12) for s, f, n in ((1, "county", "A"), (2, "district", f"d{q % 3}")) if q % 4 < 3 or s == 2]
+    wanted = spark.createDataFrame([*rows, (20, 1, "county", "none")], "query_id int, step int, field string, name string")
+    held = [(f, n, f"b{o}", float(o)) for o in range(30) for f, n in (("county", "AB"[o % 2]), ("district", f"d{o % 5}"))]
+    tags = spark.createDataFrame([*held, held[0]], "field string, name string, place_id string, ord double")
+    near = spark.createDataFrame([(q, 0, f"b{q}", 0.5) for q in (0, 1, 2, 30)], "query_id int, step int, place_id string, ord double")
+    sides = spark.createDataFrame([(q, None if q % 3 == 0 else q % 3 == 1) for q in (*range(12), 20, 30, 31)], "query_id int, within boolean")
+    ring = spark.createDataFrame([(f"b{o}", o, o % 4 < 2) for o in range(28)], "place_id string, ord int, inside boolean")
+    listed = wanted.join(tags, ["field", "name"]).select("query_id", "step", "place_id", "ord")
+    want = sorted(map(str, answers.fallback_blocks(near.unionByName(listed), sides, ring).collect()))
+    assert sorted(map(str, answers.fallback_blocks(near, sides, ring, wanted, tags).collect())) == want and want

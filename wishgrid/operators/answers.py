@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wishgrid.functions.text import normalize_key
 from wishgrid.operators.audit import breaches
+from wishgrid.operators.skew import join_split
 
 MAX_PLACE_M = 2000  # fixed value: largest distance a place requirement may carry
 
@@ -106,13 +108,18 @@ def combine_blocks(rows: DataFrame) -> DataFrame:
     ).withColumn("note", F.expr("case when size(existing) > 0 and size(_both) = 0 then 'no_intersection' end")).drop("_both")
 
 
-def fallback_blocks(steps: DataFrame, sides: DataFrame, ring: DataFrame) -> DataFrame:
+def fallback_blocks(
+    steps: DataFrame, sides: DataFrame, ring: DataFrame, wanted: DataFrame | None = None, tags: DataFrame | None = None
+) -> DataFrame:
     """Blocks of untrusted locations in first-seen order, cut to the requested side of the ring.
 
     ``steps(query_id, step, place_id, ord)``: places per untrusted location in order (station tag or
     radius-or-nearest, county tag, district tag); ``sides(query_id, within)``; ``ring(place_id, ord,
     inside)``. Without any block the side of the ring alone gives them, which is held per side, not
     per query. Result ``(query_id, place_id, seq)`` with NULL ``seq`` for side-only blocks.
+
+    ``wanted(query_id, step, field, name)`` and ``tags(field, name, place_id, ord)`` tell further steps, after those listed in
+    ``steps``, whose places are as many as queries times places of a tag: each is kept or left where they meet, and not shuffled.
     """
     first = steps.groupBy("query_id", "place_id").agg(F.min(F.struct("step", "ord")).alias("seq"))
     asked = sides.where("within is not null")
@@ -122,13 +129,42 @@ def fallback_blocks(steps: DataFrame, sides: DataFrame, ring: DataFrame) -> Data
         .where("within is null or within = inside")
         .select("query_id", "place_id", "seq")
     )
-    bare = asked.join(first.select("query_id").distinct(), "query_id", "left_anti")
-    alone = bare.join(ring.select("place_id", F.col("inside").alias("within")), "within").select(
+    served = first.select("query_id")
+    if wanted is not None:
+        wanted, tags = wanted.distinct(), tags.groupBy("field", "name", "place_id").agg(F.min("ord").alias("ord"))
+        kept = kept.unionByName(_tagged_blocks(first, asked, ring, wanted, tags, kept.schema["seq"].dataType))
+        served = served.unionByName(wanted.join(tags.select("field", "name").distinct(), ["field", "name"], "left_semi").select("query_id"))
+    bare = asked.join(served.distinct(), "query_id", "left_anti")
+    alone = join_split(bare, ring.select("place_id", F.col("inside").alias("within")), ["within"], ["place_id"]).select(
         "query_id", "place_id", F.lit(None).cast(kept.schema["seq"].dataType).alias("seq")
     )
     return kept.unionByName(alone)
 
 
+def _tagged_blocks(listed: DataFrame, asked: DataFrame, ring: DataFrame, wanted: DataFrame, tags: DataFrame, seq: StructType) -> DataFrame:
+    """Places of the wanted tags that neither a listed step nor an earlier tag of the query gives."""
+    tag = F.to_json(F.struct("field", "name"))
+    order = F.struct("step", "field", "name")
+    wants = wanted.groupBy("query_id").agg(F.collect_list(F.struct(order.alias("o"), tag.alias("tag"))).alias("wants"))
+    near = listed.groupBy("query_id").agg(F.collect_list("place_id").alias("near"))
+    queries = (
+        wanted.join(wants, "query_id")
+        .withColumn("earlier", F.transform(F.filter("wants", lambda w: w["o"] < order), lambda w: w["tag"]))
+        .drop("wants")
+        .join(near, "query_id", "left")
+        .join(asked, "query_id", "left")
+    )
+    carried = tags.groupBy("place_id").agg(F.collect_set(tag).alias("carried"))
+    held = tags.join(carried, "place_id").join(ring.select("place_id", "inside"), "place_id", "left")
+    return (
+        join_split(queries, held, ["field", "name"], ["place_id"])
+        .where("within is null or within = inside")
+        .where("size(earlier) = 0 or not arrays_overlap(earlier, carried)")
+        .where("near is null or not array_contains(near, place_id)")
+        .select("query_id", "place_id", F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in seq]).alias("seq"))
+    )
+
+
 def merge_enrichment(criteria: DataFrame, results: DataFrame, complexes: DataFrame, districts: DataFrame) -> DataFrame:
     """Matched complexes replace the requested ones, centre districts are appended.
 

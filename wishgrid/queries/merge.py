@@ -311,10 +311,10 @@ def u2_fallback_blocks(spark, sf):
         " 2, 'district', case when k % 3 = 0 then concat('NATION_', k % 25) end) as (step, field, name)",
     ).where("name is not null")
     tags = by_tag(spots, named.select("field", "name").distinct())
-    tagged = named.join(tags, ["field", "name"]).selectExpr("query_id", "step", "place_id", "cast(ord as double) as ord")
+    tags = tags.selectExpr("field", "name", "place_id", "cast(ord as double) as ord")
     sides = k.selectExpr("k as query_id", "case when k % 5 = 0 then true when k % 5 = 1 then false end as within")
     ring = point_in_ring(spots, edges_of_ring(spark, sample_ring()))
-    return ops.fallback_blocks(near.unionByName(tagged), sides, ring).select("query_id", "place_id")
+    return ops.fallback_blocks(near, sides, ring, named, tags).select("query_id", "place_id")
 
 
 @query(
