@@ -1,8 +1,11 @@
 """Results far larger than both sides: arrays of rows meet and are taken apart, with the rows of a plain join."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
-from wishgrid.operators import routes, skew, spatial
+from wishgrid.operators import listings, routes, skew, spatial
 
 
 @pytest.fixture
@@ -42,3 +45,21 @@ def test_origins_are_no_nested_product(spark, small):
     want = [(1, 1, False), (1, 2, False)] + [(q, o, True) for q in [*range(20), 3, None] if q != 1 for o in located]
     assert rows(out) == sorted(map(repr, want))
     assert "_lrows" in initial_plan(out)
+
+
+def test_criteria_in_price_bins_stay_out_of_the_driver(spark):
+    cards = spark.range(400).selectExpr(
+        "id", "concat('b', id % 7) as block_id", "cast(id % 6 as int) as rooms", "case when id % 50 > 0 then 1000 + id * 211 end as price"
+    )
+    asked = [(1, 30000, None, []), (2, None, 20000, []), (3, None, None, []), (4, 20000, 21000, ["b1", "b1", "b9"]), (5, 90000, 1000, []), (1, 30000, None, [])]
+    criteria = spark.createDataFrame(asked, "query_id int, price_min long, price_max long, blocks array<string>").withColumn(
+        "rooms_any", F.expr("array(1, 3)")
+    )
+    out = listings.criteria_listings(criteria, cards)
+    fits = "(price_min is null or price >= price_min) and (price_max is null or price <= price_max) and (array_contains(rooms_any, rooms) or rooms > 3)"
+    want = criteria.crossJoin(cards).where(fits + " and (size(blocks) = 0 or array_contains(blocks, block_id))")
+    names = ["query_id", "id", "block_id", "price"]
+    assert rows(out.select(names)) == rows(want.select(names)) and not out.isEmpty()
+    # what is sent round is the bins, never the criteria times bins or blocks
+    joins = re.findall(r"(\w+Join) \[(.*?)\]", initial_plan(out))
+    assert {kind for kind, keys in joins if "salt#" in keys} == {"SortMergeJoin"}
