@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from wishgrid.operators import listings, routes, skew, spatial
+from wishgrid.operators import answers, listings, routes, skew, spatial
 
 
 @pytest.fixture
@@ -63,3 +63,16 @@ def test_criteria_in_price_bins_stay_out_of_the_driver(spark):
     # what is sent round is the bins, never the criteria times bins or blocks
     joins = re.findall(r"(\w+Join) \[(.*?)\]", initial_plan(out))
     assert {kind for kind, keys in joins if "salt#" in keys} == {"SortMergeJoin"}
+
+
+def test_places_of_tags_meet_queries_as_arrays(spark, small):
+    near = spark.createDataFrame([(q, 0, f"p{(q * 5 + i) % 25}", float(i)) for q in range(0, 12, 3) for i in range(4)], "query_id int, step int, place_id string, ord double")
+    sides = spark.createDataFrame([(q, [True, False, None][q % 3]) for q in range(16)], "query_id int, within boolean")
+    ring = spark.createDataFrame([(f"p{i}", [True, False][i % 2]) for i in range(22)], "place_id string, inside boolean")
+    wanted = spark.createDataFrame([(q, 1, "county", f"c{q % 2}") for q in range(9)] + [(q, 2, "district", f"d{q % 3}") for q in range(4, 12)], "query_id int, step int, field string, name string")
+    tags = spark.createDataFrame([("county", f"c{i % 2}", f"p{i}", float(i)) for i in range(25)] + [("district", f"d{i % 4}", f"p{i}", float(i)) for i in range(25)], "field string, name string, place_id string, ord double")
+    out = answers.fallback_blocks(near, sides, ring, wanted, tags)
+    step = wanted.join(tags, ["field", "name"]).select("query_id", "step", "place_id", "ord")
+    plain = answers.fallback_blocks(near.unionByName(step), sides, ring)
+    assert rows(out.select("query_id", "place_id")) == rows(plain.select("query_id", "place_id")) and not out.isEmpty()
+    assert initial_plan(out).count("_lrows") > initial_plan(plain).count("_lrows") > 0

@@ -8,7 +8,8 @@ from pyspark.sql.types import StructType
 
 from wishgrid.functions.text import normalize_key
 from wishgrid.operators.audit import breaches
-from wishgrid.operators.skew import join_split
+from wishgrid.operators.skew import bits, join_packed
+from wishgrid.session import through_table
 
 MAX_PLACE_M = 2000  # fixed value: largest distance a place requirement may carry
 
@@ -121,7 +122,8 @@ def fallback_blocks(
     ``wanted(query_id, step, field, name)`` and ``tags(field, name, place_id, ord)`` tell further steps, after those listed in
     ``steps``, whose places are as many as queries times places of a tag: each is kept or left where they meet, and not shuffled.
     """
-    first = steps.groupBy("query_id", "place_id").agg(F.min(F.struct("step", "ord")).alias("seq"))
+    first = through_table(steps.groupBy("query_id", "place_id").agg(F.min(F.struct("step", "ord")).alias("seq")), "steps")
+    ring = through_table(ring.select("place_id", "inside"), "ring")
     asked = sides.where("within is not null")
     kept = (
         first.join(asked, "query_id", "left")
@@ -135,7 +137,7 @@ def fallback_blocks(
         kept = kept.unionByName(_tagged_blocks(first, asked, ring, wanted, tags, kept.schema["seq"].dataType))
         served = served.unionByName(wanted.join(tags.select("field", "name").distinct(), ["field", "name"], "left_semi").select("query_id"))
     bare = asked.join(served.distinct(), "query_id", "left_anti")
-    alone = join_split(bare, ring.select("place_id", F.col("inside").alias("within")), ["within"], ["place_id"]).select(
+    alone = join_packed(bare, ring.select("place_id", F.col("inside").alias("within")), ["within"]).select(
         "query_id", "place_id", F.lit(None).cast(kept.schema["seq"].dataType).alias("seq")
     )
     return kept.unionByName(alone)
@@ -147,20 +149,29 @@ def _tagged_blocks(listed: DataFrame, asked: DataFrame, ring: DataFrame, wanted:
     order = F.struct("step", "field", "name")
     wants = wanted.groupBy("query_id").agg(F.collect_list(F.struct(order.alias("o"), tag.alias("tag"))).alias("wants"))
     near = listed.groupBy("query_id").agg(F.collect_list("place_id").alias("near"))
+    sides = F.expr("case when within is null then array('in', 'out', 'none') when within then array('in') else array('out') end")
     queries = (
         wanted.join(wants, "query_id")
         .withColumn("earlier", F.transform(F.filter("wants", lambda w: w["o"] < order), lambda w: w["tag"]))
         .drop("wants")
         .join(near, "query_id", "left")
         .join(asked, "query_id", "left")
+        .withColumn("side", F.explode(sides))
+        .drop("within")
+        .withColumns({"earlier_bits": bits("earlier"), "near_bits": bits("near")})
     )
     carried = tags.groupBy("place_id").agg(F.collect_set(tag).alias("carried"))
-    held = tags.join(carried, "place_id").join(ring.select("place_id", "inside"), "place_id", "left")
+    held = (
+        tags.join(carried, "place_id")
+        .join(ring.select("place_id", "inside"), "place_id", "left")
+        .withColumn("side", F.expr("case when inside is null then 'none' when inside then 'in' else 'out' end"))
+        .drop("inside")
+        .withColumns({"carried_bits": bits("carried"), "place_bits": bits(F.array("place_id"))})
+    )
     return (
-        join_split(queries, held, ["field", "name"], ["place_id"])
-        .where("within is null or within = inside")
-        .where("size(earlier) = 0 or not arrays_overlap(earlier, carried)")
-        .where("near is null or not array_contains(near, place_id)")
+        join_packed(queries, held, ["field", "name", "side"])
+        .where("earlier_bits & carried_bits = 0 or not arrays_overlap(earlier, carried)")
+        .where("near is null or near_bits & place_bits = 0 or not array_contains(near, place_id)")
         .select("query_id", "place_id", F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in seq]).alias("seq"))
     )
 
