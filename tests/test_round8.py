@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from wishgrid.operators import answers, listings, routes, skew, spatial
+from wishgrid.operators import answers, catalog, listings, routes, skew, spatial
 
 
 @pytest.fixture
@@ -76,3 +76,14 @@ def test_places_of_tags_meet_queries_as_arrays(spark, small):
     plain = answers.fallback_blocks(near.unionByName(step), sides, ring)
     assert rows(out.select("query_id", "place_id")) == rows(plain.select("query_id", "place_id")) and not out.isEmpty()
     assert initial_plan(out).count("_lrows") > initial_plan(plain).count("_lrows") > 0
+
+
+def test_names_of_many_queries_meet_as_arrays(spark, small):
+    complexes = spark.createDataFrame(
+        [(i, f"d{i % 3}", f"c{i % 2}", f"c{i % 4}" if i % 6 else None) for i in range(30)], "ord int, district string, county string, metro string"
+    )
+    wanted = spark.createDataFrame([(q, f"{t}{(q + j) % 4}") for q in range(12) for j, t in enumerate("dcc")] + [(1, None), (2, "zz")], "query_id int, name string")
+    out = catalog.location_filter(complexes, wanted)
+    tags = complexes.selectExpr("ord", "explode(array(district, county, metro)) as name")
+    assert rows(out) == rows(wanted.join(tags, "name").select("query_id", "ord").distinct())
+    assert "_lrows" in initial_plan(out)
