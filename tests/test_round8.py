@@ -87,3 +87,16 @@ def test_names_of_many_queries_meet_as_arrays(spark, small):
     tags = complexes.selectExpr("ord", "explode(array(district, county, metro)) as name")
     assert rows(out) == rows(wanted.join(tags, "name").select("query_id", "ord").distinct())
     assert "_lrows" in initial_plan(out)
+
+
+@pytest.mark.parametrize("digits", [None, 1])
+def test_rows_of_a_coordinate_travel_as_arrays(spark, small, digits):
+    points = spark.createDataFrame([(i, 55.0 + i % 3 / 100, 37.0) for i in range(20)] + [(3, 55.0, 37.0), (None, 55.0, 37.0), (99, None, 37.0)], "point_id int, lat double, lon double")
+    places = spark.createDataFrame([(f"b{i}", i, 55.0 + i % 4 / 100, 37.0) for i in range(30)] + [("b1", 1, 55.01, 37.0), (None, 7, 55.0, 37.0), ("no", 8, None, None)], "place_id string, ord int, lat double, lon double")
+    out = spatial.radius_join(points, places, 1500.0, **({"digits": digits} if digits else {}))
+    p, q = spatial._as_points(points), spatial._as_places(places)
+    plain = p.join(spatial.coordinate_pairs(p, q, 1500.0), ["p_lat", "p_lon"]).join(q, ["q_lat", "q_lon"]).select("point_id", "place_id", "ord", "dist_m")
+    if digits:
+        plain = plain.withColumn("dist_m", F.round("dist_m", digits))
+    assert rows(out) == rows(plain) and not out.isEmpty()
+    assert "collect_list" in initial_plan(out)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wishgrid.functions.geo import EARTH_RADIUS_M, haversine_m, to_xyz
 from wishgrid.functions.text import normalize_key
-from wishgrid.operators.skew import join_split
+from wishgrid.operators.skew import FEW, PACK, in_arrays, join_split
 from wishgrid.session import through_table
 
 CELL_TARGET = 4096  # coordinates of one cell handled by one task; more are split by a salt
@@ -87,18 +87,23 @@ def _as_places(places: DataFrame) -> DataFrame:
     )
 
 
-def radius_join(points: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
+def radius_join(points: DataFrame, places: DataFrame, radius_m: float, digits: int | None = None) -> DataFrame:
     """Every ``(point_id, place_id, ord, dist_m)`` within ``radius_m``.
 
-    ``points(point_id, lat, lon)``, ``places(place_id, ord, lat, lon)``.
+    ``points(point_id, lat, lon)``, ``places(place_id, ord, lat, lon)``. ``digits`` rounds the distance, once per pair of
+    coordinates. What lies at one coordinate meets the pairs as arrays, taken apart at the end, so their product is not shuffled.
     """
     p, q = _as_points(points), _as_places(places)
     pairs = coordinate_pairs(p, q, radius_m)
-    return (
-        p.join(pairs, ["p_lat", "p_lon"])
-        .join(q, ["q_lat", "q_lon"])
-        .select("point_id", "place_id", "ord", "dist_m")
+    if digits is not None:
+        pairs = pairs.withColumn("dist_m", F.round("dist_m", digits))
+    met = (
+        pairs.join(in_arrays(p, ["p_lat", "p_lon"], FEW, "_ps"), ["p_lat", "p_lon"])
+        .join(in_arrays(q, ["q_lat", "q_lon"], PACK, "_qs"), ["q_lat", "q_lon"])
+        .select("dist_m", F.explode("_ps").alias("_p"), "_qs")
+        .select("dist_m", "_p", F.explode("_qs").alias("_q"))
     )
+    return met.select("_p.point_id", "_q.place_id", "_q.ord", "dist_m")
 
 
 def _nearest_coordinates(p: DataFrame, q: DataFrame, k: int) -> DataFrame:

@@ -80,8 +80,8 @@ def j10_poi_place_join(spark, sf):
     from wishgrid.operators.spatial import radius_join
 
     spots = ops.element_points(elements(spark, sf)).selectExpr("id as place_id", "id as ord", "e_lat as lat", "e_lon as lon")
-    near = radius_join(places(spark, sf).selectExpr("slug as point_id", "lat", "lon"), spots, 2000.0)
-    return near.selectExpr("point_id as slug", "place_id as id", "round(dist_m, 1) as dist_m")
+    near = radius_join(places(spark, sf).selectExpr("slug as point_id", "lat", "lon"), spots, 2000.0, digits=1)
+    return near.selectExpr("point_id as slug", "place_id as id", "dist_m")
 
 
 @query(
